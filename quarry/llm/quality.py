@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import cut, own_columns, table
 
 GAP = r"[\x20\x09-\x0D]+"
-#: Words of a window that counts as a repeat when the text has it twice.
+#: Words of a window that counts as a repeat when the text has it twice; a power of two.
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
 #: Share of a group's documents that the covariance estimate keeps, and rounds of concentration.
@@ -36,7 +36,9 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     """*docs* with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     d = docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_w", F.array_remove(F.split("_t", GAP), ""))
     d = d.withColumn("_hw", F.transform("_w", lambda x: F.xxhash64(x)))
-    d = d.withColumn("_h", F.expr(f"CASE WHEN size(_hw) < {WINDOW} THEN array() ELSE transform(sequence(0, size(_hw) - {WINDOW}), i -> xxhash64(slice(_hw, i + 1, {WINDOW}))) END"))
+    # hashes of 2, 4 and 8 words from the halves: each pass hashes two numbers a position
+    for i in (1, 2, 4):
+        d = d.withColumn("_hw", F.expr(f"CASE WHEN size(_hw) <= {i} THEN array() ELSE slice(zip_with(_hw, slice(_hw, {i + 1}, size(_hw)), (a, b) -> xxhash64(a, b)), 1, size(_hw) - {i}) END"))
     d = d.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = (
         d.withColumn("n_words", F.size("_w").cast("long"))
@@ -44,10 +46,10 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         .withColumn("n_symbols", (F.length("_t") - F.length(F.regexp_replace("_t", r"[#*$%&|<>]", ""))).cast("long"))
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
         .withColumn("n_lines", F.size("_l").cast("long"))
-        .withColumn("n_repeat_words", repeat_words("_h"))
+        .withColumn("n_repeat_words", repeat_words("_hw"))
     )
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
-    return d.drop("_t", "_w", "_hw", "_h", "_l")
+    return d.drop("_t", "_w", "_hw", "_l")
 
 
 def transformed(d: DataFrame) -> DataFrame:
