@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,10 +30,22 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is spark.checkpoint.dir of the session; a temporary one is set only where
     that is unset (local tests). Never a localCheckpoint: executors may be lost.
     """
-    sc = df.sparkSession.sparkContext
+    _folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """The same for larger tables: a compressed Parquet table in the shared checkpoint folder."""
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def literal_table(spark: SparkSession, rows: list[dict]) -> DataFrame:

@@ -16,17 +16,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import arrow_map, buffers, cut, id_key, own_columns, steps, table, text_key
+from quarry.llm.shared import arrow_map, buffers, cut, cut_table, id_key, own_columns, steps, table, text_key
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 200
 #: Bytes of an anchor gram: a power of two.
 GRAM = 32
 #: Bytes of slices that one suffix array holds.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 19
 #: Different slices of one anchor beyond which its strings become anchors of their own.
 HOT = 16384
 
+#: Text bytes that are cut into slices at a time: the hashes stay in a processor's cache.
+STEP = 1 << 18
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,15 +47,13 @@ def gram_hashes(t: np.ndarray) -> np.ndarray:
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each *width* neighbours."""
-    n = len(x)
-    rows = -(-n // width)
-    p = np.full(rows * width, np.iinfo(np.uint64).max, np.uint64)
-    p[:n] = x
-    p = p.reshape(rows, width)
-    ahead = np.minimum.accumulate(p, axis=1).ravel()
-    behind = np.minimum.accumulate(p[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    """Minimum of each *width* neighbours, by doubling."""
+    step = 1
+    while 2 * step <= width:
+        x = np.minimum(x[:-step], x[step:])
+        step *= 2
+    rest = width - step
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
 def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +262,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         offsets, data = buffers(b.column("text"))
         ids, ks = b.column("_id").to_numpy(), b.column("_k").to_numpy()
-        for i, j in steps(offsets):
+        for i, j in steps(offsets, STEP):
             lo, hi = offsets[i], offsets[j]
             row, start, n, key = slices(data[lo:hi], offsets[i : j + 1] - lo)
             if not len(row):
@@ -349,21 +350,26 @@ def _hot_runs(hot: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """_id, _k and runs (array of from, count): the starts of strings that occur elsewhere too, for documents that have any."""
     found = occurrences(docs)
-    # c copies of a slice, one of which stands for all: the three firsts are of one row
-    kinds = found.groupBy("key", "slice").agg(F.count("*").alias("c"), F.first("_id").alias("_id"), F.first("_k").alias("_k"), F.first("start").alias("start"), F.first("n").alias("n"))
-    kinds = cut(kinds)
-    shared = cut(kinds.groupBy("key").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).filter("total >= 2"))
-    texts = slice_texts(docs, kinds.join(shared.select("key", "kinds"), "key").drop("kinds"))
-    busy = shared.filter(F.col("kinds") > hot).select("key")
+    shared = cut(found.groupBy("key").count().filter("count >= 2").select("key"))
+    hits = cut_table(found.join(shared, "key", "left_semi"))
+    # c copies of a slice, one of which stands for all: the firsts are of one row
+    kinds = hits.groupBy("key", "slice").agg(F.count("*").alias("c"), F.first("_id").alias("_id"), F.first("_k").alias("_k"), F.first("start").alias("start"), F.first("n").alias("n"))
+    kinds = cut_table(kinds)
+    variety = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
+    # a shard of one slice needs no sorting: it has each of its strings as often as there are copies
+    several = cut(variety.filter("kinds > 1"))
+    whole = kinds.join(several, "key", "left_anti").select("key", "slice", F.lit(0).alias("from"), F.col("n").alias("count"))
+    texts = slice_texts(docs, kinds.join(several.select("key"), "key"))
+    busy = several.filter(F.col("kinds") > hot).select("key")
     if busy.take(1):
-        texts = cut(texts)
+        texts = cut_table(texts)
         rest = texts.join(busy, "key", "left_anti")
-        runs = _hot_runs(texts.join(busy, "key", "left_semi"))
+        whole = whole.unionByName(_hot_runs(texts.join(busy, "key", "left_semi")))
     else:
-        rest, runs = texts, None
+        rest = texts
     sharded = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, "key long, slice long, from int, count int")
-    runs = cut(sharded if runs is None else sharded.unionByName(runs))
-    return found.join(runs, ["key", "slice"]).groupBy("_id", "_k").agg(F.collect_list(F.struct((F.col("start") + F.col("from")).alias("from"), "count")).alias("runs"))
+    runs = cut_table(sharded.unionByName(whole))
+    return hits.join(runs, ["key", "slice"]).groupBy("_id", "_k").agg(F.collect_list(F.struct((F.col("start") + F.col("from")).alias("from"), "count")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
