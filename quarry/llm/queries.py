@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import license_scan, quality, sentencepiece, simhash, suffix_array, url_filter
+from quarry.llm import decontaminate, license_scan, quality, sentencepiece, simhash, suffix_array, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_sentencepiece": sentencepiece.op4_sentencepiece, "op5_simhash": simhash.op5_simhash, "op6_quality_rules": quality.op6_quality_rules, "op7_suffix_array": suffix_array.op7_suffix_array, "op9_license_scan": license_scan.op9_license_scan, "op10_url_filter": url_filter.op10_url_filter}
+    return {"op1_decontamination": decontaminate.op1_decontamination, "op4_sentencepiece": sentencepiece.op4_sentencepiece, "op5_simhash": simhash.op5_simhash, "op6_quality_rules": quality.op6_quality_rules, "op7_suffix_array": suffix_array.op7_suffix_array, "op9_license_scan": license_scan.op9_license_scan, "op10_url_filter": url_filter.op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
