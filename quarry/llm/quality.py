@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import cut, own_columns, table
+from quarry.llm.shared import BROADCAST_ROWS, cut, own_columns, table
 
 GAP = r"[\x20\x09-\x0D]+"
 #: Words of a window that counts as a repeat when the text has it twice; a power of two.
@@ -17,6 +17,9 @@ CORE, ROUNDS = 0.75, 4
 MIN_GROUP = 100
 #: Names of the transformed statistics with the least variance of each, so that a statistic that is constant within the core neither divides by zero nor makes a small change an outlier.
 STATS = {"s_length": 0.25, "s_word": 0.09, "s_symbol": 0.25, "s_dup": 0.25, "s_repeat": 0.0225}
+#: What the operator adds, and what it uses on the way.
+RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
+ADDED = {*RESULT, *STATS, "n_lines", "usable", "d2"}
 #: Median and rejection quantile (1 - 1e-7) of the chi-squared distribution with five degrees of freedom.
 CHI2_MEDIAN, CHI2_REJECT = 4.351, 40.86
 
@@ -64,15 +67,24 @@ def transformed(d: DataFrame) -> DataFrame:
     )
 
 
-def grouped(d: DataFrame) -> DataFrame:
-    """Adds _g: language and source, the language alone, or all, whichever has MIN_GROUP usable documents."""
+def group_names(d: DataFrame) -> DataFrame:
+    """_lang, _source and _g: language and source, the language alone, or all, whichever has MIN_GROUP usable documents."""
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
     counted = d.filter("usable").groupBy(lang.alias("_lang"), source.alias("_source")).agg(F.count("*").alias("n"))
-    counted = counted.groupBy("_lang").agg(F.sum("n").alias("of_lang"), F.collect_list(F.struct("_source", "n")).alias("each"))
-    counted = counted.select("_lang", "of_lang", F.inline("each"))
+    languages = counted.groupBy("_lang").agg(F.sum("n").alias("of_lang"))
     label = F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\x01", F.lit("s"), "_lang", "_source")).when(F.col("of_lang") >= MIN_GROUP, F.concat_ws("\x01", F.lit("l"), "_lang")).otherwise("all")
-    names = counted.select("_lang", "_source", label.alias("_g"))
-    return d.withColumn("_lang", lang).withColumn("_source", source).join(names, ["_lang", "_source"], "left").withColumn("_g", F.coalesce("_g", F.lit("all"))).drop("_lang", "_source")
+    return counted.join(languages, "_lang").select("_lang", "_source", label.alias("_g"))
+
+
+def grouped(d: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds _g; a language and source without usable documents is in the group of all."""
+    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
+    return d.withColumn("_lang", lang).withColumn("_source", source).join(small(names), ["_lang", "_source"], "left").withColumn("_g", F.coalesce("_g", F.lit("all"))).drop("_lang", "_source")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table of groups, broadcast where its counted rows allow."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def cholesky(moments: DataFrame) -> DataFrame:
@@ -137,16 +149,19 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     are estimated with their language or with all. Each row stays once, repeats too; columns that
     clash with those added are replaced; an empty table gives an empty result.
     """
-    added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "distance", "kept", "usable", "d2", *STATS}
-    clash = [c for c in docs.columns if c.lower() in added or c.startswith("_")]
-    d = transformed(base_statistics(docs.drop(*clash))).withColumn("usable", ~F.col("base_failed"))
-    return robust_verdict(d, [c for c in docs.columns if c not in clash])
-
-
-def robust_verdict(d: DataFrame, keep: list[str]) -> DataFrame:
-    """The estimate runs on the small statistic table, cut from the texts; *keep* names columns to return."""
-    d = grouped(cut(d))
-    usable = d.filter("usable").select("_g", *STATS)
+    clash = [c for c in docs.columns if c.lower() in ADDED or c.startswith("_")]
+    docs = docs.drop(*clash)
+    have = {c.lower() for c in docs.columns}
+    rest = docs.withColumns({c: F.lit(None).cast("string") for c in ("text", "lang", "source") if c not in have})
+    d = transformed(base_statistics(rest)).withColumn("usable", ~F.col("base_failed"))
+    names, factors, scale = estimate(cut(d.select("lang", "source", "usable", *STATS)))
+    return verdict(grouped(d, names), factors, scale).select(*docs.columns, *RESULT)
+
+
+def estimate(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Group names, Cholesky factors and scales, from the statistics alone."""
+    names = cut(group_names(d))
+    usable = grouped(d, names).filter("usable").select("_g", *STATS)
     centre = usable.groupBy("_g").agg(*[F.percentile_approx(s, 0.5, 10_000).alias(f"c_{s}") for s in STATS])
     spread = usable.join(centre, "_g").groupBy("_g").agg(*[F.first(f"c_{s}").alias(f"c_{s}") for s in STATS], *[F.percentile_approx(F.abs(F.col(s) - F.col(f"c_{s}")), 0.5, 10_000).alias(f"v_{s}") for s in STATS])
     first = F.lit(0.0)
@@ -157,12 +172,22 @@ def robust_verdict(d: DataFrame, keep: list[str]) -> DataFrame:
         factors = cut(cholesky(moments(core_of(near))))
         near = distance(usable, factors)
     scale = near.groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / CHI2_MEDIAN, F.lit(1.0)).alias("_scale"))
-    out = distance(d, factors).join(scale, "_g", "left").withColumn("distance", F.sqrt(F.col("d2") / F.col("_scale")))
-    kept = F.col("usable") & F.coalesce(F.col("distance") * F.col("distance") <= CHI2_REJECT, F.lit(True))
-    return out.withColumn("kept", kept).select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+    return names, factors, cut(scale)
+
+
+def verdict(d: DataFrame, factors: DataFrame, scale: DataFrame) -> DataFrame:
+    """Adds distance and kept to rows that have _g, usable and the statistics."""
+    out = distance(d, small(factors)).join(small(scale), "_g", "left").withColumn("distance", F.sqrt(F.col("d2") / F.col("_scale")))
+    return out.withColumn("kept", F.col("usable") & F.coalesce(F.col("distance") * F.col("distance") <= CHI2_REJECT, F.lit(True)))
+
+
+def good_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, with their columns."""
+    return quality_rules(docs).filter("kept").select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own_columns(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
-    d = transformed(base_statistics(docs)).withColumn("usable", ~F.col("base_failed")).drop("text")
-    return robust_verdict(d, ["doc_id"]).drop("lang", "source")
+    d = cut(transformed(base_statistics(docs)).withColumn("usable", ~F.col("base_failed")).drop("text"))  # so that the texts are read once
+    names, factors, scale = estimate(d.select("lang", "source", "usable", *STATS))
+    return verdict(grouped(d, names), factors, scale).select("doc_id", *RESULT)

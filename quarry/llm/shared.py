@@ -56,7 +56,7 @@ def literal_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; a column that the table lacks becomes null."""
-    kinds = {"doc_id": "bigint", "page_id": "bigint", "item_id": "bigint"}
+    kinds = {"doc_id": "bigint", "page_id": "bigint", "item_id": "bigint", "toxic": "int", "ts": "bigint", "revisit": "boolean", "headers": "map<string,string>"}
     have = {c.lower(): c for c in df.columns}
     return df.select(*[F.col(f"`{have[n]}`").alias(n) if n in have else F.lit(None).cast(kinds.get(n, "string")).alias(n) for n in names])
 
