@@ -195,8 +195,11 @@ class Scorer(dict):
     def __missing__(self, token: str) -> float:
         if len(self) >= KEEP:
             self.clear()
-        e = self.m.evidence
-        got = self[token] = max((e[f] for r in readings(token, self.m.costs) for f in features(r) if f in e), default=0.0)
+        get = self.m.evidence.get
+        got = 0.0
+        for r in readings(token, self.m.costs):
+            got = max(got, get(r, 0.0), get(r[:4] + "*", 0.0), get(r[:5] + "*", 0.0), get(r[:6] + "*", 0.0))
+        self[token] = got
         return got
 
     def vector(self, text: str | None) -> np.ndarray:
