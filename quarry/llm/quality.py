@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import BROADCAST_ROWS, cut, own_columns, table
+from quarry.llm.shared import BROADCAST_ROWS, cut, id_key, own_columns, table, text_key
 
 GAP = r"[\x20\x09-\x0D]+"
 #: Words of a window that counts as a repeat when the text has it twice; a power of two.
@@ -182,8 +182,19 @@ def verdict(d: DataFrame, factors: DataFrame, scale: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    """The documents that the rules keep, with their columns.
+
+    The texts are read once for the statistics. The verdict comes from the small table of these, and the
+    rejected rows leave by an anti-join on id and text hash: a filter on the verdict would be pushed
+    into the expressions over the text and repeat them many times.
+    """
+    d = own_columns(docs, "doc_id", "text", "lang", "source").withColumn("_id", id_key("doc_id").cast("long")).withColumn("_k", text_key("text"))
+    d = transformed(base_statistics(d)).withColumn("usable", ~F.col("base_failed")).select("_id", "_k", "lang", "source", "usable", *STATS)
+    d = cut(d)
+    names, factors, scale = estimate(d)
+    bad = cut(verdict(grouped(d, names), factors, scale).filter("not kept").select("_id", "_k", F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source")).distinct())
+    keyed = docs.withColumn("_id", id_key("doc_id").cast("long")).withColumn("_k", text_key("text")).withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_source", F.coalesce("source", F.lit("")))
+    return keyed.join(small(bad), ["_id", "_k", "_lang", "_source"], "left_anti").select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
