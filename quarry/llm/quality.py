@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,10 +130,10 @@ def moments(d: DataFrame) -> DataFrame:
     return d.groupBy("_g").agg(F.count("*").alias("n"), *sums, *products)
 
 
-def core_of(d: DataFrame) -> DataFrame:
+def core_of(d: DataFrame, per_group: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows whose d2 is within the CORE quantile of their group."""
     limits = d.groupBy("_g").agg(F.percentile_approx("d2", CORE, 10_000).alias("_limit"))
-    return d.join(limits, "_g").filter("d2 <= _limit").drop("_limit")
+    return d.join(per_group(limits), "_g").filter("d2 <= _limit").drop("_limit")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -161,16 +163,18 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def estimate(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Group names, Cholesky factors and scales, from the statistics alone."""
     names = cut(group_names(d))
+    # tables of one row a group have at most the rows of names: counted once, then broadcast, so that a hot group stays where its rows are
+    per_group: Callable[[DataFrame], DataFrame] = F.broadcast if names.count() <= BROADCAST_ROWS else lambda x: x
     usable = grouped(d, names).filter("usable").select("_g", *STATS)
     centre = usable.groupBy("_g").agg(*[F.percentile_approx(s, 0.5, 10_000).alias(f"c_{s}") for s in STATS])
-    spread = usable.join(centre, "_g").groupBy("_g").agg(*[F.first(f"c_{s}").alias(f"c_{s}") for s in STATS], *[F.percentile_approx(F.abs(F.col(s) - F.col(f"c_{s}")), 0.5, 10_000).alias(f"v_{s}") for s in STATS])
+    spread = usable.join(per_group(centre), "_g").groupBy("_g").agg(*[F.first(f"c_{s}").alias(f"c_{s}") for s in STATS], *[F.percentile_approx(F.abs(F.col(s) - F.col(f"c_{s}")), 0.5, 10_000).alias(f"v_{s}") for s in STATS])
     first = F.lit(0.0)
     for s, floor in STATS.items():
         first = first + F.pow(F.col(s) - F.col(f"c_{s}"), 2) / (F.pow(1.4826 * F.col(f"v_{s}"), 2) + floor)
-    near = usable.join(spread, "_g").withColumn("d2", first).select("_g", *STATS, "d2")
+    near = usable.join(per_group(spread), "_g").withColumn("d2", first).select("_g", *STATS, "d2")
     for _ in range(ROUNDS):
-        factors = cut(cholesky(moments(core_of(near))))
-        near = distance(usable, factors)
+        factors = cut(cholesky(moments(core_of(near, per_group))))
+        near = distance(usable, per_group(factors))
     scale = near.groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / CHI2_MEDIAN, F.lit(1.0)).alias("_scale"))
     return names, factors, cut(scale)
 
