@@ -410,7 +410,7 @@ class Source:
                     self.call(self.chain_start(i - 1), i - 1, self.pair[i])
                 if self.at(i - 1) not in KEYWORDS | ACCESSORS or self.at(i - 1) in ("return", "in"):
                     self.add("ClosureExpr", i, self.pair[i], literal=self.span(i + 1, self.pair[i + 1]) if self.at(i + 1) == "[" and i + 1 in self.pair else None)
-            elif t.kind == "word" and x not in KEYWORDS and self.at(i - 1) != ".":
+            elif t.kind == "word" and x not in KEYWORDS and self.at(i - 1) not in TYPES | {".", "func", "let", "var", "import"}:
                 self.add("TypeReference" if x[0].isupper() else "DeclReferenceExpr", i, i, name=x.strip("`"))
 
     def line_end(self, i: int) -> int:
