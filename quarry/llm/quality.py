@@ -15,7 +15,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
 #: Share of a group's documents that the covariance estimate keeps, and rounds of concentration.
 CORE, ROUNDS = 0.75, 4
-#: Groups with fewer documents are estimated with the rest of their language, then with all.
+#: Groups with fewer documents are held against the estimate of their whole language, or else of the whole table.
 MIN_GROUP = 100
 #: Names of the transformed statistics with the least variance of each, so that a statistic that is constant within the core neither divides by zero nor makes a small change an outlier.
 STATS = {"s_length": 0.25, "s_word": 0.09, "s_symbol": 0.25, "s_dup": 0.25, "s_repeat": 0.0225}
@@ -74,10 +74,21 @@ def group_names(d: DataFrame) -> DataFrame:
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
     counted = d.filter("usable").groupBy(lang.alias("_lang"), source.alias("_source")).agg(F.count("*").alias("n"))
     languages = counted.groupBy("_lang").agg(F.sum("n").alias("of_lang"))
-    label = F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\x01", F.lit("s"), "_lang", "_source")).when(F.col("of_lang") >= MIN_GROUP, F.concat_ws("\x01", F.lit("l"), "_lang")).otherwise("all")
+    own, language, everything = levels()
+    label = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("of_lang") >= MIN_GROUP, language).otherwise(everything)
     return counted.join(languages, "_lang").select("_lang", "_source", label.alias("_g"))
 
 
+def levels() -> list[Column]:
+    """Names of the groups that a language and source can be held against, the smallest first."""
+    return [F.concat_ws("\x01", F.lit("s"), "_lang", "_source"), F.concat_ws("\x01", F.lit("l"), "_lang"), F.lit("all")]
+
+
+def members(names: DataFrame) -> DataFrame:
+    """_lang, _source and _g for every group in use that a language and source is part of, so that a fallback is fitted on all of its language or table, not on the small groups alone."""
+    return names.select("_lang", "_source", F.explode(F.array(*levels())).alias("_g")).join(small(names.select("_g").distinct()), "_g", "left_semi")
+
+
 def grouped(d: DataFrame, names: DataFrame) -> DataFrame:
     """Adds _g; a language and source without usable documents is in the group of all."""
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
@@ -148,7 +159,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     third of the rows is combined before the shuffle; the factor table has one row per group.
 
     Null texts have no words and fail; null languages and sources are the empty string. Small groups
-    are estimated with their language or with all. Each row stays once, repeats too; columns that
+    are held against the estimate of all usable documents of their language, or of the table. Each row stays once, repeats too; columns that
     clash with those added are replaced; an empty table gives an empty result.
     """
     clash = [c for c in docs.columns if c.lower() in ADDED or c.startswith("_")]
@@ -165,7 +176,7 @@ def estimate(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     names = cut(group_names(d))
     # tables of one row a group have at most the rows of names: counted once, then broadcast, so that a hot group stays where its rows are
     per_group: Callable[[DataFrame], DataFrame] = F.broadcast if names.count() <= BROADCAST_ROWS else lambda x: x
-    usable = grouped(d, names).filter("usable").select("_g", *STATS)
+    usable = grouped(d.filter("usable"), cut(members(names))).select("_g", *STATS)
     centre = usable.groupBy("_g").agg(*[F.percentile_approx(s, 0.5, 10_000).alias(f"c_{s}") for s in STATS])
     spread = usable.join(per_group(centre), "_g").groupBy("_g").agg(*[F.first(f"c_{s}").alias(f"c_{s}") for s in STATS], *[F.percentile_approx(F.abs(F.col(s) - F.col(f"c_{s}")), 0.5, 10_000).alias(f"v_{s}") for s in STATS])
     first = F.lit(0.0)

@@ -67,6 +67,19 @@ def test_quality_statistics_and_outliers(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_small_groups_against_their_language(spark):
+    def junk(i):
+        return " ".join(w + "$$$" for w in words(200, i).split())
+
+    rows = [(i, words(200 + i % 50, i), "en", "s", 0, "") for i in range(150)] + [(i, junk(i), "en", "odd", 0, "") for i in range(900, 906)] + [(910, junk(910), None, "s", 0, "")]
+    rows += [(920, words(210, 920), "en", "fine", 0, ""), (921, words(230, 921), "xx", None, 0, "")]
+    docs = fixture(spark, rows)
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert not any(got[i].base_failed for i in got) and not any(got[i].kept for i in (*range(900, 906), 910))
+    assert got[920].kept and got[921].kept and all(got[i].kept for i in range(150))
+    assert {r.doc_id for r in quality.good_documents(docs).collect()} == {i for i in got if got[i].kept}
+
+
 @pytest.mark.parametrize("tile", [2, 4096])
 def test_simhash_links(spark, tile):
     r = random.Random(5)
