@@ -22,8 +22,8 @@ STATS = {"s_length": 0.25, "s_word": 0.09, "s_symbol": 0.25, "s_dup": 0.25, "s_r
 #: What the operator adds, and what it uses on the way.
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
 ADDED = {*RESULT, *STATS, "n_lines", "usable", "d2"}
-#: Median and rejection quantile (1 - 1e-7) of the chi-squared distribution with five degrees of freedom.
-CHI2_MEDIAN, CHI2_REJECT = 4.351, 40.86
+#: Consistency factor of a core of three quarters, CORE / P(chi-squared with 7 degrees of freedom <= 6.626, the CORE quantile with 5), and the 0.9999 quantile with five degrees of freedom.
+CONSISTENT, CHI2_REJECT = 1.412, 25.745
 
 
 def repeat_words(hashes: str) -> Column:
@@ -111,7 +111,9 @@ def cholesky(moments: DataFrame) -> DataFrame:
         for j in range(i + 1):
             c = F.col(f"p_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
             if i == j:
-                c = F.greatest(c, F.lit(0.0)) + floors[i]
+                c = F.greatest(c * CONSISTENT, F.lit(0.0)) + floors[i]
+            else:
+                c = c * CONSISTENT
             for q in range(j):
                 c = c - F.col(f"l_{i}_{q}") * F.col(f"l_{j}_{q}")
             m = m.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(floors[i] / 100))) if i == j else c / F.col(f"l_{j}_{j}"))
@@ -153,8 +155,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Base: fewer than 20 words, or over 30 % of the words in eight-word windows that the text has
     twice. The others of a language and source get a minimum-covariance-determinant estimate: from
     medians and absolute deviations, rounds of concentration keep the three quarters of smallest
-    Mahalanobis distance and estimate mean and covariance anew. Distances are scaled so that the
-    group's median is that of a chi-squared variable (never scaled up); beyond its 1 - 1e-7 quantile
+    Mahalanobis distance and estimate mean and covariance anew. The core's covariance is multiplied by
+    its consistency factor, so that distances of normal data are chi-squared; beyond the 0.9999 quantile
     a document is rejected. Only sums and quantile sketches of each group are shuffled, so a group that holds a
     third of the rows is combined before the shuffle; the factor table has one row per group.
 
@@ -167,12 +169,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     have = {c.lower() for c in docs.columns}
     rest = docs.withColumns({c: F.lit(None).cast("string") for c in ("text", "lang", "source") if c not in have})
     d = transformed(base_statistics(rest)).withColumn("usable", ~F.col("base_failed"))
-    names, factors, scale = estimate(cut(d.select("lang", "source", "usable", *STATS)))
-    return verdict(grouped(d, names), factors, scale).select(*docs.columns, *RESULT)
+    names, factors = estimate(cut(d.select("lang", "source", "usable", *STATS)))
+    return verdict(grouped(d, names), factors).select(*docs.columns, *RESULT)
 
 
-def estimate(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Group names, Cholesky factors and scales, from the statistics alone."""
+def estimate(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Group names and Cholesky factors, from the statistics alone."""
     names = cut(group_names(d))
     # tables of one row a group have at most the rows of names: counted once, then broadcast, so that a hot group stays where its rows are
     per_group: Callable[[DataFrame], DataFrame] = F.broadcast if names.count() <= BROADCAST_ROWS else lambda x: x
@@ -186,14 +188,13 @@ def estimate(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     for _ in range(ROUNDS):
         factors = cut(cholesky(moments(core_of(near, per_group))))
         near = distance(usable, per_group(factors))
-    scale = near.groupBy("_g").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / CHI2_MEDIAN, F.lit(1.0)).alias("_scale"))
-    return names, factors, cut(scale)
+    return names, factors
 
 
-def verdict(d: DataFrame, factors: DataFrame, scale: DataFrame) -> DataFrame:
+def verdict(d: DataFrame, factors: DataFrame) -> DataFrame:
     """Adds distance and kept to rows that have _g, usable and the statistics."""
-    out = distance(d, small(factors)).join(small(scale), "_g", "left").withColumn("distance", F.sqrt(F.col("d2") / F.col("_scale")))
-    return out.withColumn("kept", F.col("usable") & F.coalesce(F.col("distance") * F.col("distance") <= CHI2_REJECT, F.lit(True)))
+    out = distance(d, small(factors)).withColumn("distance", F.sqrt("d2"))
+    return out.withColumn("kept", F.col("usable") & F.coalesce(F.col("d2") <= CHI2_REJECT, F.lit(True)))
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
@@ -206,8 +207,8 @@ def good_documents(docs: DataFrame) -> DataFrame:
     d = own_columns(docs, "doc_id", "text", "lang", "source").withColumn("_id", id_key("doc_id").cast("long")).withColumn("_k", text_key("text"))
     d = transformed(base_statistics(d)).withColumn("usable", ~F.col("base_failed")).select("_id", "_k", "lang", "source", "usable", *STATS)
     d = cut(d)
-    names, factors, scale = estimate(d)
-    bad = cut(verdict(grouped(d, names), factors, scale).filter("not kept").select("_id", "_k", F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source")).distinct())
+    names, factors = estimate(d)
+    bad = cut(verdict(grouped(d, names), factors).filter("not kept").select("_id", "_k", F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source")).distinct())
     keyed = docs.withColumn("_id", id_key("doc_id").cast("long")).withColumn("_k", text_key("text")).withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_source", F.coalesce("source", F.lit("")))
     return keyed.join(small(bad), ["_id", "_k", "_lang", "_source"], "left_anti").select(*docs.columns)
 
@@ -215,5 +216,5 @@ def good_documents(docs: DataFrame) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own_columns(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
     d = cut(transformed(base_statistics(docs)).withColumn("usable", ~F.col("base_failed")).drop("text"))  # so that the texts are read once
-    names, factors, scale = estimate(d.select("lang", "source", "usable", *STATS))
-    return verdict(grouped(d, names), factors, scale).select("doc_id", *RESULT)
+    names, factors = estimate(d.select("lang", "source", "usable", *STATS))
+    return verdict(grouped(d, names), factors).select("doc_id", *RESULT)

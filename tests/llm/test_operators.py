@@ -80,6 +80,14 @@ def test_quality_small_groups_against_their_language(spark):
     assert {r.doc_id for r in quality.good_documents(docs).collect()} == {i for i in got if got[i].kept}
 
 
+def test_quality_rejects_tables(spark):
+    w = words(120, 3).split()
+    table_text = " | ".join(" ".join(w[i : i + 3]) for i in range(0, 120, 3))
+    rows = [(i, words(200 + i % 50, i), "en", "s", 0, "") for i in range(150)] + [(900, table_text, "en", "s", 0, "")]
+    got = {r.doc_id: r for r in quality.quality_rules(fixture(spark, rows)).collect()}
+    assert not got[900].base_failed and not got[900].kept and all(got[i].kept for i in range(150))
+
+
 @pytest.mark.parametrize("tile", [2, 4096])
 def test_simhash_links(spark, tile):
     r = random.Random(5)
