@@ -37,7 +37,8 @@ LOOKS = {
 }
 _DECORATION = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|^[\"'(\[{¿¡]+|[\"')\]}.,;:!?]+$")
 _PLAIN = re.compile(r"[^\W\d_]*")
-_RUN = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
+_LOOKING = re.compile(f"[{re.escape(''.join(LOOKS))}]")
 _SPACED = re.compile(r"(?<!\S)\S(?: {1,2}\S){2,}(?!\S)")
 
 
@@ -137,13 +138,13 @@ def stripped(token: str) -> str:
 
 
 def readings(token: str, costs: np.ndarray) -> list[str]:
-    """A token as it is, and decoded if anything in it is no letter or is written three times."""
+    """A token as it is, and decoded if anything in it is no letter, looks like another letter or is written twice in a row."""
     t = stripped(token)
     if not t:
         return []
     if len(t) < 3:  # too short to hide a word
         return [t]
-    if _PLAIN.fullmatch(t) and not _RUN.search(t):
+    if _PLAIN.fullmatch(t) and not _TWICE.search(t) and (t.isascii() or not _LOOKING.search(t)):
         return [t]
     return list(dict.fromkeys([t, decode(t, costs)]))
 
@@ -270,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every document.
 
-    A token that holds anything but plain letters, or a letter thrice in a row, or a run of single characters, is
+    A token that holds anything but plain letters, a look-alike letter, a letter twice in a row, or a run of single characters, is
     restored by Viterbi decoding of its character lattice (look-alikes, repetition, characters put
     between) under a character language model counted over all texts. Words and word beginnings that
     labelled toxic texts have significantly more often are evidence; a document's strongest evidence goes through a

@@ -232,6 +232,13 @@ def test_toxicity(spark):
     assert "clown" in toxicity.tokens("you c l o w n there")
 
 
+def test_homoglyphs_and_doubled_letters_are_decoded():
+    costs = np.ones((28,) * 4, np.float32)
+    costs[..., 27] = 8  # letters of other alphabets are rare
+    for written, word in (("idi\u043et", "idiot"), ("\u0455tupid", "stupid"), ("stuupid", "stupid"), ("iidioot", "idiot"), ("idiot", "idiot")):
+        assert word in toxicity.readings(written, costs)
+
+
 def test_revisits(spark):
     head = {"etag": '"1"', "content-length": "5"}
     rows = [
