@@ -39,7 +39,9 @@ _DECORATION = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|^[\"'(\[{¿¡]+|[\"')\]}.
 _PLAIN = re.compile(r"[^\W\d_]*")
 _TWICE = re.compile(r"([^\W\d_])\1")
 _LOOKING = re.compile(f"[{re.escape(''.join(LOOKS))}]")
-_SPACED = re.compile(r"(?<!\S)\S(?: {1,2}\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+#: One letter for all that a look-alike may stand for, so that pieces of a word meet however they are written.
+_FOLD = str.maketrans({k: v[0] for k, v in LOOKS.items()} | {"l": "i", "£": "i", "g": "b", "9": "b"})
 
 
 def symbols(codes: np.ndarray) -> np.ndarray:
@@ -96,24 +98,26 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 def _symbol(ch: str) -> int:
-    return ord(ch) - 96 if "a" <= ch <= "z" else 27
+    return ord(ch) - 96 if "a" <= ch <= "z" else 27 * (ch != " ")
 
 
 def decode(token: str, costs: np.ndarray) -> str:
     """The likeliest word behind a token: Viterbi over its character lattice, BEAM histories wide.
 
     Each character is itself, a letter that it looks like, or nothing where it repeats the one before or is no letter.
+    A space is the edge of a word, or was put between.
     """
     states: dict[tuple[int, ...], tuple[float, str]] = {(0,) * HISTORY: (0.0, "")}
     before = ""
     for ch in token:
-        options = [(ch, 0.0)] if ch.isalpha() else []
+        options = [(ch, 0.0)] if ch.isalpha() or ch == " " else []
         options += [(x, LOOKALIKE) for x in LOOKS.get(ch, "")]
         if ch == before:
             options.append(("", REPEATED))
         elif not ch.isalpha():
             options.append(("", IDLE if ch in LOOKS else INSERTED))
-        before = ch
+        if ch != " ":
+            before = ch
         new: dict[tuple[int, ...], tuple[float, str]] = {}
         for history, (cost, word) in states.items():
             for x, extra in options:
@@ -139,6 +143,8 @@ def stripped(token: str) -> str:
 
 def readings(token: str, costs: np.ndarray) -> list[str]:
     """A token as it is, and decoded if anything in it is no letter, looks like another letter or is written twice in a row."""
+    if " " in token:  # pieces: the words of the likeliest path
+        return list(dict.fromkeys(decode(token, costs).split()))
     t = stripped(token)
     if not t:
         return []
@@ -150,12 +156,32 @@ def readings(token: str, costs: np.ndarray) -> list[str]:
 
 
 def tokens(text: str) -> set[str]:
-    """The distinct lower-cased tokens between spaces, full stops and commas, with each run of single characters as one more."""
-    low = text.lower().replace(".", " ").replace(",", " ")
+    """The distinct lower-cased tokens between spaces, full stops and commas, with each run of single characters as two more: glued, and with its spaces for the lattice to place words in."""
+    low = spread(text)
     parts = low.split()
-    out = set(parts)
-    if sum(map((1).__eq__, map(len, parts))) >= 3:
-        out.update("".join(m[0].split()) for m in _SPACED.finditer(low))
+    found = runs(low, parts)
+    return {*parts, *found, *(t.replace(" ", "") for t in found)}
+
+
+def spread(text: str) -> str:
+    return text.lower().replace(".", " ").replace(",", " ")
+
+
+def runs(low: str, parts: list[str]) -> set[str]:
+    """The runs of single characters, with one space between."""
+    return {" ".join(m[0].split()) for m in _SPACED.finditer(low)} if sum(map((1).__eq__, map(len, parts))) >= 3 else set()
+
+
+def broken(low: str, parts: list[str], starts: set[str], whole: set[str]) -> set[str]:
+    """Neighbouring pieces that together are one of the folded words *whole*; *starts* are the beginnings of these."""
+    folded, out = low.translate(_FOLD).split(), set()
+    for i in [i for i, p in enumerate(folded) if p in starts]:
+        joined, j = folded[i], i + 1
+        while j < len(folded) and joined in starts:
+            joined += folded[j]
+            j += 1
+            if joined in whole:
+                out.add(" ".join(parts[i:j]))
     return out
 
 
@@ -192,6 +218,8 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.m = model
+        self.whole = {w.translate(_FOLD) for w in model.evidence if len(w) >= 3 and not w.endswith("*")}
+        self.starts = {w[:k] for w in self.whole for k in range(1, len(w))}
 
     def __missing__(self, token: str) -> float:
         if len(self) >= KEEP:
@@ -203,9 +231,18 @@ class Scorer(dict):
         self[token] = got
         return got
 
+    def words(self, text: str) -> set[str]:
+        """The distinct tokens, and the words of the best path of each run of single characters and each broken word."""
+        low = spread(text)
+        parts = low.split()
+        out = set(parts)
+        for t in runs(low, parts) | broken(low, parts, self.starts, self.whole):
+            out.update(readings(t, self.m.costs))
+        return out
+
     def vector(self, text: str | None) -> np.ndarray:
         """The three strongest tokens' evidence, how many tokens have any, and one."""
-        found = sorted(filter(None, map(self.__getitem__, tokens(text or ""))), reverse=True)
+        found = sorted(filter(None, map(self.__getitem__, self.words(text or ""))), reverse=True)
         return np.array([*(found + [0.0] * 3)[:3], math.log1p(len(found)), 1.0])
 
     def score(self, text: str | None) -> float:
@@ -273,7 +310,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) ->
 
     A token that holds anything but plain letters, a look-alike letter, a letter twice in a row, or a run of single characters, is
     restored by Viterbi decoding of its character lattice (look-alikes, repetition, characters put
-    between) under a character language model counted over all texts. Words and word beginnings that
+    between, spaces kept as edges or dropped) under a character language model counted over all texts. Neighbouring pieces
+    that together could be a learned word are decoded in the same way, and every word of the best path counts. Words and word beginnings that
     labelled toxic texts have significantly more often are evidence; a document's strongest evidence goes through a
     logistic regression. The classifier sees at most *bound* labelled texts, never one whose crc32(doc_id) mod 5 is 0;
     doc_id, lang, source and labels take no part in a score.

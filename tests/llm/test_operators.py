@@ -239,6 +239,14 @@ def test_homoglyphs_and_doubled_letters_are_decoded():
         assert word in toxicity.readings(written, costs)
 
 
+def test_spaces_are_edges_or_dropped(spark):
+    prose = "you are a stupid clown and an idiot too, said a man in the house that you know. " * 50
+    costs = toxicity.language_model(toxicity.gram_counts(fixture(spark, [(1, prose, "", "", 0, "")])))
+    scorer = toxicity.Scorer(toxicity.Model(costs, {"idiot": 3.0, "clown": 2.0}, np.ones(5)))
+    for text, evidence in (("you are a i d i o t", [3.0]), ("s t u p i d\tc l o w n", [2.0]), ("y o u   i d\ni o t", [3.0]), ("an id iot", [3.0]), ("an i di 0t and a clo wn", [3.0, 2.0]), ("a man in the house", [])):
+        assert sorted(filter(None, scorer.vector(text)[:3]), reverse=True) == evidence
+
+
 def test_revisits(spark):
     head = {"etag": '"1"', "content-length": "5"}
     rows = [
