@@ -20,6 +20,8 @@ RARE = 10
 #: Alignment scores, and the share of an item's best possible score that counts as a copy.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.6
+#: A passage is a copy as well if its alignment scores as many words in a row do, whatever share of the item that is.
+PASSAGE = 13
 #: Characters of test items that are sent to the executors at once; more are taken in blocks.
 BLOCK_CHARS = 16 << 20
 
@@ -180,10 +182,11 @@ def _block(docs: DataFrame, rows: list[tuple[int, str]], leak: float) -> DataFra
         got = [align(x.words[k], h[of_row[i] : of_row[i + 1]]) for i, k in enumerate(item)]
         first = b.column("first").to_numpy()
         columns = [pa.array([x.ids[k] for k in item], pa.int64()), pa.array([s / (MATCH * len(x.words[k])) for (s, _, _), k in zip(got, item, strict=True)], pa.float64())]
+        columns += [pa.array([s / MATCH for s, _, _ in got], pa.float64())]
         columns += [pa.array(first + np.array([v[i] for v in got], np.int64)) for i in (1, 2)]
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("_id", "_k", "n_seeds")], *columns], names=["_id", "_k", "n_seeds", "item_id", "score", "first_word", "end_word"])
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("_id", "_k", "n_seeds")], *columns], names=["_id", "_k", "n_seeds", "item_id", "score", "alike", "first_word", "end_word"])
 
-    scored = arrow_map(chosen, score, "_id long, _k long, n_seeds int, item_id long, score double, first_word long, end_word long").filter(F.col("score") >= leak)
+    scored = arrow_map(chosen, score, "_id long, _k long, n_seeds int, item_id long, score double, alike double, first_word long, end_word long").filter((F.col("score") >= leak) | (F.col("alike") >= PASSAGE))
     best = F.max_by(F.struct("first_word", "end_word", "n_seeds"), F.struct(F.col("score"), -F.col("first_word")))
     return scored.groupBy("_id", "_k", "item_id").agg(F.max("score").alias("score"), best.alias("b")).select("_id", "_k", "item_id", "score", "b.*")
 
@@ -194,8 +197,8 @@ def leaks(docs: DataFrame, items: DataFrame, leak: float = LEAK, block_chars: in
     Every five-word gram of the items is looked up in every whole text. A gram's document count over
     the whole corpus decides whether it is a rare seed of its item; passages with a rare seed are aligned
     with the item word by word, which allows for words changed, put in or left out. The score is the
-    share of the best possible one; from *leak* on it is a copy, and the best passage of each document and
-    item is returned. A phrase that a text shares with an item by chance scores low.
+    share of the best possible one; from *leak* on it is a copy, and so is a part of a long item whose alignment
+    scores as PASSAGE words in a row do. The best passage of each document and item is returned. A phrase that a text shares with an item by chance scores low.
 
     Test items are the stated query set: their total size is measured, and beyond *block_chars* they are
     taken in blocks, each against all documents. Null and empty texts have no passages; an item of
