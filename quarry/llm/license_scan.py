@@ -16,8 +16,8 @@ RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 K = 2
 #: Diagonals at most this far apart are neighbours: a word put in or left out shifts the rest by one.
 NEAR = 2
-#: Share of a notice's grams that its merged diagonals must cover.
-COVER = 0.8
+#: Share of a notice's grams that its merged diagonals must cover; less is enough where they cover each of its words, so that words were only put in.
+COVER, COVER_PUT_IN = 0.8, 0.5
 
 #: Phrases whose every place is counted, as (label, words).
 PHRASES = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
@@ -49,7 +49,7 @@ def template_table(spark: SparkSession, phrases: list[tuple[str, str]] = PHRASES
 
 def grams(df: DataFrame, words: str, pos: str, prefix: str, *keep: str) -> DataFrame:
     """A row for each rolling K-gram of an array column: its position, words and hash."""
-    shifted = [(F.col(words) if i == 0 else F.slice(words, i + 1, F.size(words) - i)).alias(f"{prefix}{i}") for i in range(K)]
+    shifted = [(F.col(words) if i == 0 else F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0)))).alias(f"{prefix}{i}") for i in range(K)]
     each = df.filter(F.size(words) >= K).select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias(pos, "g")).select(*keep, pos, "g.*")
     return each.filter(F.col(f"{prefix}{K - 1}").isNotNull()).withColumn(f"{prefix}hash", F.xxhash64(*[f"{prefix}{i}" for i in range(K)]))
 
@@ -60,9 +60,9 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
     Every rolling word gram of a document meets the template positions that have the same gram by its
     hash, and its words confirm it. Hits vote for a diagonal (document position less template position).
     A diagonal that has every gram of a phrase is a place of the phrase. A notice's diagonals of two
-    votes or more that lie within NEAR of one another are merged, and the merged span is verified: it
-    covers COVER of the notice's grams within twice its length. Score: the largest share so covered, 1
-    for a phrase, 0 for none.
+    votes or more, and those of one vote within NEAR of such a one, are merged where they lie within NEAR of one another, and the
+    merged span is verified: within twice the notice's length it covers COVER of its grams, or COVER_PUT_IN of them
+    and each of its words. Score: the largest share of grams so covered, 1 for a phrase, 0 for none.
 
     Null and empty texts have no words and no labels. Rows that repeat an id are told apart by their
     text; equal rows give equal rows. Extra columns are ignored. An empty table gives an empty result.
@@ -84,16 +84,20 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
         .groupBy("_id", "_k", "template", "label", "phrase", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal"))
         .agg(F.collect_set("tpos").alias("votes"), F.min("pos").alias("from"), F.max("pos").alias("to"))
         .withColumn("full", F.col("phrase") & (F.size("votes") == F.col("n_grams")))
-        .filter(F.col("full") | (~F.col("phrase") & (F.size("votes") >= 2)))
+        .filter(F.col("full") | ~F.col("phrase"))
     )
     by = Window.partitionBy("_id", "_k", "template").orderBy("diagonal")
+    strongest = F.max(F.size("votes")).over(by.rangeBetween(-NEAR, NEAR))
+    words = F.size(F.array_distinct(F.concat("votes", F.transform("votes", lambda x: x + 1))))
     merged = (
-        diagonals.withColumn("new", (F.col("full") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > NEAR, F.lit(True))).cast("int"))
+        diagonals.withColumn("strongest", strongest).filter(F.col("full") | (F.col("strongest") >= 2))
+        .withColumn("new", (F.col("full") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > NEAR, F.lit(True))).cast("int"))
         .withColumn("run", F.sum("new").over(by))
         .groupBy("_id", "_k", "template", "label", "phrase", "n_grams", "run")
         .agg(F.min("diagonal").alias("start"), F.array_distinct(F.flatten(F.collect_list("votes"))).alias("votes"), F.min("from").alias("from"), F.max("to").alias("to"))
         .withColumn("share", F.size("votes") / F.col("n_grams"))
-        .filter(F.col("phrase") | ((F.col("share") >= COVER) & (F.col("to") - F.col("from") + K <= 2 * (F.col("n_grams") + K - 1))))
+        .withColumn("enough", (F.col("share") >= COVER) | ((F.col("share") >= COVER_PUT_IN) & (words == F.col("n_grams") + K - 1)))
+        .filter(F.col("phrase") | (F.col("enough") & (F.col("to") - F.col("from") + K <= 2 * (F.col("n_grams") + K - 1))))
     )
     found = merged.groupBy("_id", "_k").agg(
         F.count_if("phrase").alias("n_base"),
@@ -125,16 +129,18 @@ g AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unne
 diag AS (
   SELECT doc_id, template, label, phrase, n_grams, pos - tpos AS diagonal, list(DISTINCT tpos) AS votes, min(pos) AS lo, max(pos) AS hi
   FROM g JOIN t USING (a, b) GROUP BY ALL
-  HAVING (phrase AND count(DISTINCT tpos) = n_grams) OR (NOT phrase AND count(DISTINCT tpos) >= 2)
+  HAVING NOT phrase OR count(DISTINCT tpos) = n_grams
+), strong AS (
+  SELECT * FROM diag QUALIFY phrase OR max(len(votes)) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN {NEAR} PRECEDING AND {NEAR} FOLLOWING) >= 2
 ), marked AS (
   SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER o > {NEAR}, true) THEN 1 ELSE 0 END AS fresh
-  FROM diag WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)
+  FROM strong WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)
 ), runs AS (
   SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM marked
 ), spans AS (
-  SELECT doc_id, template, label, phrase, run, min(diagonal) AS start, len(list_distinct(flatten(list(votes)))) / n_grams AS share
+  SELECT doc_id, template, label, phrase, run, min(diagonal) AS start, list_distinct(flatten(list(votes))) AS all_votes, len(all_votes) / n_grams AS share
   FROM runs GROUP BY doc_id, template, label, phrase, n_grams, run
-  HAVING phrase OR (share >= {COVER} AND max(hi) - min(lo) + {K} <= 2 * (n_grams + {K} - 1))
+  HAVING phrase OR ((share >= {COVER} OR share >= {COVER_PUT_IN} AND len(list_distinct(list_concat(all_votes, list_transform(all_votes, lambda x: x + 1)))) = n_grams + {K} - 1) AND max(hi) - min(lo) + {K} <= 2 * (n_grams + {K} - 1))
 ), found AS (
   SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
     coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,

@@ -7,21 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import BROADCAST_ROWS, cut, id_key, own_columns, table, text_key
+from quarry.llm.shared import BROADCAST_ROWS, cut, cut_table, free_names, id_key, own_columns, table, text_key, without
 
 GAP = r"[\x20\x09-\x0D]+"
 #: Words of a window that counts as a repeat when the text has it twice; a power of two.
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
-#: Share of a group's documents that the covariance estimate keeps, and rounds of concentration.
-CORE, ROUNDS = 0.75, 4
+#: Share of a group's documents that the covariance estimate keeps.
+CORE = 0.75
+#: Rounds of concentration from every start, and at most so many more from the best; they end when no log-determinant changes by SETTLED.
+SHORT, ROUNDS, SETTLED = 2, 20, 1e-3
+#: Stands between a group's name and the number of the start.
+START = "\x02"
 #: Groups with fewer documents are held against the estimate of their whole language, or else of the whole table.
 MIN_GROUP = 100
 #: Names of the transformed statistics with the least variance of each, so that a statistic that is constant within the core neither divides by zero nor makes a small change an outlier.
 STATS = {"s_length": 0.25, "s_word": 0.09, "s_symbol": 0.25, "s_dup": 0.25, "s_repeat": 0.0225}
-#: What the operator adds, and what it uses on the way.
+#: What the operator adds.
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
-ADDED = {*RESULT, *STATS, "n_lines", "usable", "d2"}
 #: Consistency factor of a core of three quarters, CORE / P(chi-squared with 7 degrees of freedom <= 6.626, the CORE quantile with 5), and the 0.9999 quantile with five degrees of freedom.
 CONSISTENT, CHI2_REJECT = 1.412, 25.745
 
@@ -69,13 +72,13 @@ def transformed(d: DataFrame) -> DataFrame:
     )
 
 
-def group_names(d: DataFrame) -> DataFrame:
-    """_lang, _source and _g: language and source, the language alone, or all, whichever has MIN_GROUP usable documents."""
+def group_names(d: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """_lang, _source and _g: language and source, the language alone, or all, whichever has *min_group* usable documents."""
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
     counted = d.filter("usable").groupBy(lang.alias("_lang"), source.alias("_source")).agg(F.count("*").alias("n"))
     languages = counted.groupBy("_lang").agg(F.sum("n").alias("of_lang"))
     own, language, everything = levels()
-    label = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("of_lang") >= MIN_GROUP, language).otherwise(everything)
+    label = F.when(F.col("n") >= min_group, own).when(F.col("of_lang") >= min_group, language).otherwise(everything)
     return counted.join(languages, "_lang").select("_lang", "_source", label.alias("_g"))
 
 
@@ -100,24 +103,29 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def cholesky(moments: DataFrame) -> DataFrame:
-    """Columns m_i and l_i_j (lower triangle) from the sums n, s_i and p_i_j of each group."""
+def covariance(moments: DataFrame) -> DataFrame:
+    """Mean m_i and covariance k_i_j (lower triangle) from the sums n, s_i and p_i_j of each group: the core's, made consistent."""
     k = len(STATS)
-    m = moments
-    for i in range(k):
-        m = m.withColumn(f"m_{i}", F.col(f"s_{i}") / F.col("n"))
-    floors = list(STATS.values())
+    m = moments.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(k)})
+    cov = {}
+    for i, floor in enumerate(STATS.values()):
+        for j in range(i + 1):
+            c = (F.col(f"p_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * CONSISTENT
+            cov[f"k_{i}_{j}"] = F.greatest(c, F.lit(0.0)) + floor if i == j else c
+    return m.withColumns(cov)
+
+
+def cholesky(m: DataFrame) -> DataFrame:
+    """m_i, l_i_j (the lower triangle of the Cholesky factor) and logdet from m_i and k_i_j."""
+    k, floors = len(STATS), list(STATS.values())
     for i in range(k):
         for j in range(i + 1):
-            c = F.col(f"p_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
-            if i == j:
-                c = F.greatest(c * CONSISTENT, F.lit(0.0)) + floors[i]
-            else:
-                c = c * CONSISTENT
+            c = F.col(f"k_{i}_{j}")
             for q in range(j):
                 c = c - F.col(f"l_{i}_{q}") * F.col(f"l_{j}_{q}")
             m = m.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(floors[i] / 100))) if i == j else c / F.col(f"l_{j}_{j}"))
-    return m.select("_g", *[f"m_{i}" for i in range(k)], *[f"l_{i}_{j}" for i in range(k) for j in range(i + 1)])
+    logdet = sum((2 * F.log(f"l_{i}_{i}") for i in range(1, k)), 2 * F.log("l_0_0"))
+    return m.select("_g", *[f"m_{i}" for i in range(k)], *[f"l_{i}_{j}" for i in range(k) for j in range(i + 1)], logdet.alias("logdet"))
 
 
 def distance(d: DataFrame, factors: DataFrame) -> DataFrame:
@@ -149,51 +157,90 @@ def core_of(d: DataFrame, per_group: Callable[[DataFrame], DataFrame]) -> DataFr
     return d.join(per_group(limits), "_g").filter("d2 <= _limit").drop("_limit")
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """*docs* with the base statistics, base_failed, distance and kept.
 
     Base: fewer than 20 words, or over 30 % of the words in eight-word windows that the text has
-    twice. The others of a language and source get a minimum-covariance-determinant estimate: from
-    medians and absolute deviations, rounds of concentration keep the three quarters of smallest
-    Mahalanobis distance and estimate mean and covariance anew. The core's covariance is multiplied by
+    twice. The others of a language and source get a minimum-covariance-determinant estimate: from four robust
+    starts (medians and absolute deviations alone, and with the correlations of hyperbolic tangents, of spatial
+    signs and of clipped values), rounds of concentration keep the three quarters of smallest Mahalanobis distance and estimate mean and
+    covariance anew; the start of the smallest determinant goes on until it settles. The core's covariance is multiplied by
     its consistency factor, so that distances of normal data are chi-squared; beyond the 0.9999 quantile
     a document is rejected. Only sums and quantile sketches of each group are shuffled, so a group that holds a
-    third of the rows is combined before the shuffle; the factor table has one row per group.
+    third of the rows is combined before the shuffle; the factor table has one row per group and start.
 
-    Null texts have no words and fail; null languages and sources are the empty string. Small groups
-    are held against the estimate of all usable documents of their language, or of the table. Each row stays once, repeats too; columns that
-    clash with those added are replaced; an empty table gives an empty result.
+    Null texts have no words and fail; null languages and sources are the empty string. Groups of fewer than *min_group*
+    are held against the estimate of all usable documents of their language, or of the table. Each row stays once, repeats too; columns named
+    as a result (RESULT) are replaced, all others stay; an empty table gives an empty result.
     """
-    clash = [c for c in docs.columns if c.lower() in ADDED or c.startswith("_")]
-    docs = docs.drop(*clash)
-    have = {c.lower() for c in docs.columns}
-    rest = docs.withColumns({c: F.lit(None).cast("string") for c in ("text", "lang", "source") if c not in have})
-    d = transformed(base_statistics(rest)).withColumn("usable", ~F.col("base_failed"))
-    names, factors = estimate(cut(d.select("lang", "source", "usable", *STATS)))
-    return verdict(grouped(d, names), factors).select(*docs.columns, *RESULT)
-
-
-def estimate(d: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Group names and Cholesky factors, from the statistics alone."""
-    names = cut(group_names(d))
-    # tables of one row a group have at most the rows of names: counted once, then broadcast, so that a hot group stays where its rows are
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
+    (row,) = free_names(docs, "_row")
+    keyed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias(row))  # so that no column meets one of ours
+    own = own_columns(docs, "text", "lang", "source")
+    have = {c.lower(): c for c in docs.columns}
+    keyed = keyed.select(row, *[(F.col(f"{row}.`{have[c]}`") if c in have else F.lit(None).cast("string")).alias(c) for c in own.columns])
+    d = cut_table(transformed(base_statistics(keyed)).withColumn("usable", ~F.col("base_failed")).drop("text"))
+    names, factors = estimate(d.select("lang", "source", "usable", *STATS), min_group)
+    return verdict(grouped(d, names), factors).select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns], *RESULT)
+
+
+def estimate(d: DataFrame, min_group: int = MIN_GROUP) -> tuple[DataFrame, DataFrame]:
+    """Group names and the Cholesky factors of smallest determinant, from the statistics alone."""
+    names = cut(group_names(d, min_group))
+    # tables of one row a group and start have few more rows than names: counted once, then broadcast, so that a hot group stays where its rows are
     per_group: Callable[[DataFrame], DataFrame] = F.broadcast if names.count() <= BROADCAST_ROWS else lambda x: x
     usable = grouped(d.filter("usable"), cut(members(names))).select("_g", *STATS)
-    centre = usable.groupBy("_g").agg(*[F.percentile_approx(s, 0.5, 10_000).alias(f"c_{s}") for s in STATS])
-    spread = usable.join(per_group(centre), "_g").groupBy("_g").agg(*[F.first(f"c_{s}").alias(f"c_{s}") for s in STATS], *[F.percentile_approx(F.abs(F.col(s) - F.col(f"c_{s}")), 0.5, 10_000).alias(f"v_{s}") for s in STATS])
-    first = F.lit(0.0)
-    for s, floor in STATS.items():
-        first = first + F.pow(F.col(s) - F.col(f"c_{s}"), 2) / (F.pow(1.4826 * F.col(f"v_{s}"), 2) + floor)
-    near = usable.join(per_group(spread), "_g").withColumn("d2", first).select("_g", *STATS, "d2")
+    factors = cut(cholesky(starts(usable, per_group)))
+    each = usable.withColumn("_g", F.explode(F.array(*[F.concat("_g", F.lit(f"{START}{i}")) for i in range(N_STARTS)])))
+    for _ in range(SHORT):
+        factors = concentrated(each, factors, per_group)
+    group = F.substring_index("_g", START, 1)
+    best = factors.groupBy(group.alias("name")).agg(F.min(F.struct("logdet", "_g")).alias("best")).select(F.col("best._g").alias("_g"))
+    factors = cut(factors.join(per_group(best), "_g", "left_semi").withColumn("_g", group))
     for _ in range(ROUNDS):
-        factors = cut(cholesky(moments(core_of(near, per_group))))
-        near = distance(usable, per_group(factors))
+        last, factors = factors, concentrated(usable, factors, per_group)
+        before = last.select("_g", F.col("logdet").alias("before"))
+        if not factors.join(before, "_g").filter(F.abs(F.col("logdet") - F.col("before")) >= SETTLED).take(1):
+            break
     return names, factors
 
 
+def concentrated(d: DataFrame, factors: DataFrame, per_group: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One round: the factors of each group's core under the present factors."""
+    return cut(cholesky(covariance(moments(core_of(distance(d, per_group(factors.drop("logdet"))), per_group)))))
+
+
+#: Kinds of starts: none, hyperbolic tangents, spatial signs, values cut off at CLIP deviations.
+N_STARTS, CLIP = 4, 1.5
+
+
+def starts(usable: DataFrame, per_group: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Median m_i and a robust covariance k_i_j of each group from each start; _g holds the group and the start's number."""
+    k, floors = len(STATS), list(STATS.values())
+    centre = usable.groupBy("_g").agg(*[F.percentile_approx(s, 0.5, 10_000).alias(f"m_{i}") for i, s in enumerate(STATS)])
+    away = [F.abs(F.col(s) - F.col(f"m_{i}")) for i, s in enumerate(STATS)]
+    spread = usable.join(per_group(centre), "_g").groupBy("_g").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(k)], *[F.percentile_approx(x, 0.5, 10_000).alias(f"v_{i}") for i, x in enumerate(away)])
+    spread = cut(spread.select("_g", *[f"m_{i}" for i in range(k)], *[F.sqrt(F.pow(1.4826 * F.col(f"v_{i}"), 2) + floors[i]).alias(f"d_{i}") for i in range(k)]))
+    z = usable.join(per_group(spread), "_g").withColumns({f"z_{i}": (F.col(s) - F.col(f"m_{i}")) / F.col(f"d_{i}") for i, s in enumerate(STATS)})
+    size = F.sqrt(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, k)), F.col("z_0") * F.col("z_0")))
+    z = z.withColumn("size", F.greatest(size, F.lit(1e-9))).withColumns({f"t_{i}": F.tanh(f"z_{i}") for i in range(k)} | {f"u_{i}": F.col(f"z_{i}") / F.col("size") for i in range(k)} | {f"w_{i}": F.greatest(F.least(F.col(f"z_{i}"), F.lit(CLIP)), F.lit(-CLIP)) for i in range(k)})
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    sums = z.groupBy("_g").agg(*[F.avg(F.col(f"{x}_{i}") * F.col(f"{x}_{j}")).alias(f"{x}_{i}_{j}") for x in "tuw" for i, j in pairs]).join(per_group(spread), "_g")
+
+    def entry(x: str, i: int, j: int) -> Column:
+        if i == j:
+            return F.pow(f"d_{i}", F.lit(2.0))
+        if not x:
+            return F.lit(0.0)
+        return F.coalesce(F.col(f"{x}_{i}_{j}") / F.nullif(F.sqrt(F.col(f"{x}_{i}_{i}") * F.col(f"{x}_{j}_{j}")), F.lit(0.0)), F.lit(0.0)) * F.col(f"d_{i}") * F.col(f"d_{j}")
+
+    rows = [F.struct(F.concat("_g", F.lit(f"{START}{n}")).alias("_g"), *[F.col(f"m_{i}") for i in range(k)], *[entry(x, i, j).alias(f"k_{i}_{j}") for i, j in pairs]) for n, x in enumerate(["", "t", "u", "w"])]
+    return sums.select(F.inline(F.array(*rows)))
+
+
 def verdict(d: DataFrame, factors: DataFrame) -> DataFrame:
     """Adds distance and kept to rows that have _g, usable and the statistics."""
-    out = distance(d, small(factors)).withColumn("distance", F.sqrt("d2"))
+    out = distance(d, small(factors.drop("logdet"))).withColumn("distance", F.sqrt("d2"))
     return out.withColumn("kept", F.col("usable") & F.coalesce(F.col("d2") <= CHI2_REJECT, F.lit(True)))
 
 
@@ -209,8 +256,7 @@ def good_documents(docs: DataFrame) -> DataFrame:
     d = cut(d)
     names, factors = estimate(d)
     bad = cut(verdict(grouped(d, names), factors).filter("not kept").select("_id", "_k", F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source")).distinct())
-    keyed = docs.withColumn("_id", id_key("doc_id").cast("long")).withColumn("_k", text_key("text")).withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_source", F.coalesce("source", F.lit("")))
-    return keyed.join(small(bad), ["_id", "_k", "_lang", "_source"], "left_anti").select(*docs.columns)
+    return without(docs, bad, "_id", "_k", "_lang", "_source")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ import importlib
 import os
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import own_columns, table
+from quarry.llm.shared import own_columns, table, with_text
 
 #: The model of the registered query; a parameter of the operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -27,6 +26,8 @@ THREADS = 2
 BATCH_BYTES = 1 << 20
 #: The visible mark that stands for a space.
 SPACE = "▁"
+#: Stands before pieces that no text holds; not a character.
+HIDDEN = "\U0010ffff"
 
 #: Fixed values of the model file's format: kinds of models and of pieces.
 UNIGRAM, BPE = 1, 2
@@ -99,16 +100,22 @@ def merges_of(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [x[3:] for x in sorted(found)]
 
 
-def build(model: Model, normal: bool = True) -> object:
+def build(model: Model) -> object:
     """The same model as a tokenizers Tokenizer: normaliser, space marks, scores or merges, byte fallback, decoder."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-    unk = model.pieces[model.unk_id][0]
+    own = sorted((p for p, _, kind in model.pieces if kind == USER_DEFINED), key=lambda p: (-len(p), p))
     if model.kind == UNIGRAM:
-        t = Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk_id, model.byte_fallback))
+        # pieces that are never text must not be found in one; the user's always win, and the text is split at them
+        best = 1.0 + max(s for _, s, _ in model.pieces)
+        vocab = [(HIDDEN + p if kind in (UNKNOWN, CONTROL, UNUSED) else p, best if kind == USER_DEFINED else s) for p, s, kind in model.pieces]
+        t = Tokenizer(models.Unigram(vocab, model.unk_id, model.byte_fallback))
     else:
         vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
-        t = Tokenizer(models.BPE(vocab, merges_of(model.pieces), unk_token=unk, fuse_unk=True, byte_fallback=model.byte_fallback))
+        unk = model.pieces[model.unk_id][0]
+        t = Tokenizer(models.BPE(vocab, merges_of(model.pieces), unk_token=unk, fuse_unk=True, byte_fallback=model.byte_fallback, ignore_merges=bool(own)))
+    if own:
+        t.pre_tokenizer = pre_tokenizers.Split(Regex("|".join(map(re.escape, own))), "isolated")
     steps = []
     if model.charsmap:
         steps.append(normalizers.Precompiled(model.charsmap))
@@ -118,106 +125,40 @@ def build(model: Model, normal: bool = True) -> object:
         steps.append(normalizers.Prepend(SPACE if model.escape else " "))
     if model.escape:
         steps.append(normalizers.Replace(" ", SPACE))
-    if steps and normal:
+    if steps:
         t.normalizer = normalizers.Sequence(steps)
-    own = [AddedToken(p, normalized=True) for p, _, kind in model.pieces if kind == USER_DEFINED]
-    if own:
-        t.add_tokens(own)
-    parts = [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
+    parts = [decoders.Replace(HIDDEN, ""), decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
     if model.dummy_prefix:
         parts.append(decoders.Strip(" ", 1, 0))
     t.decoder = decoders.Sequence(parts)
     return t
 
 
-def is_local(model: Model) -> bool:
-    """Whether no piece has a space mark after another character: words then encode independently.
-
-    Every segmentation breaks before such a mark, so merges and best paths of a text are those of its words.
-    """
-    inner = any(SPACE in p.lstrip(SPACE) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED))
-    return model.escape and model.dummy_prefix and not inner and not any(kind == USER_DEFINED for _, _, kind in model.pieces)
-
-
 class Codec:
-    """Encodes texts with the rebuilt tokenizer and checks each distinct word against the reference library.
-
-    Where words are independent a word is encoded, decoded and checked once and kept; *KEEP* bounds what is kept.
-    """
-
-    KEEP = 500_000
+    """Encodes whole texts with the rebuilt tokenizer, decodes the ids again, and compares both with the reference library."""
 
     def __init__(self, data: bytes, parity: bool = True):
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         model = parse_model(data)
-        self.tokenizer, self.local, self.parity = build(model), is_local(model), parity
+        self.tokenizer, self.parity = build(model), parity
         self.reference = importlib.import_module("sentencepiece").SentencePieceProcessor(model_proto=data)
         self.is_byte = np.array([kind == BYTE for _, _, kind in model.pieces])
         self.plain = not model.charsmap and not model.strip_extra
-        self.word = re.compile(f"{SPACE}+[^{SPACE}]*")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces = [p for p, _, _ in model.pieces]
-        self.per_word = build(model, normal=False)
-        self.not_back: set[str] = set()
-        self.not_same: set[str] = set()
-
-    def words(self, text: str) -> list[str]:
-        """The words of the normalised text, each without its first mark."""
-        if not self.plain:
-            text = self.tokenizer.normalizer.normalize_str(text)[1:]
-        if not text:
-            return []
-        parts = text.replace(SPACE, " ").split(" ")
-        return [w[1:] for w in self.word.findall(SPACE + text.replace(" ", SPACE))] if "" in parts else parts
-
-    def learn(self, words: set[str]) -> None:
-        """Makes every word known. What KEEP words ago was last seen is forgotten."""
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > self.KEEP:
-            self.older, self.known = self.known, {}
-            new = words
-        old = new.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in old)
-        todo = list(new.difference(old))
-        if not todo:
-            return
-        marked = [SPACE + w for w in todo]
-        ids = [e.ids for e in self.per_word.encode_batch_fast(marked, add_special_tokens=False)]
-        pieces, odd = self.pieces, []
-        for i, (w, x) in enumerate(zip(marked, ids, strict=True)):
-            if "".join([pieces[k] for k in x]) != w:
-                odd.append(i)  # bytes stand for characters here
-        if odd:
-            back = self.tokenizer.decode_batch([ids[i] for i in odd], skip_special_tokens=False)
-            self.not_back.update(todo[i] for i, b in zip(odd, back, strict=True) if todo[i].replace(SPACE, " ") != b)
-        if self.parity:
-            plain = [w.replace(SPACE, " ") for w in todo]  # the reference adds the first mark itself, but not to an empty text
-            same = self.reference.encode(plain, num_threads=THREADS)
-            self.not_same.update(w for w, i, j in zip(todo, ids, same, strict=True) if i != j and w)
-        self.known.update((w, array("i", i).tobytes()) for w, i in zip(todo, ids, strict=True))
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool | None]]:
-        """Ids as little-endian 32-bit numbers, whether they decode to the normalised text, whether the reference agrees."""
-        if not self.local:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            want = [self.reference.normalize(x).replace(SPACE, " ") for x in texts]
-            same = [x == y for x, y in zip(ids, self.reference.encode(texts, num_threads=THREADS), strict=True)] if self.parity else [None] * len(ids)
-            return [(np.asarray(i, "<i4").tobytes(), b in (w, w[1:]), s) for i, b, w, s in zip(ids, back, want, same, strict=True)]
-        split = [self.words(x) for x in texts]
-        self.learn(set().union(*split))
-        get, out = self.known.__getitem__, []
-        for w in split:
-            back = not self.not_back or self.not_back.isdisjoint(w)
-            same = (not self.not_same or self.not_same.isdisjoint(w)) if self.parity else None
-            out.append((b"".join(map(get, w)), back, same))
-        if self.parity and texts:  # the words' ids make up the text's, as a whole text of each batch shows
-            i = min(range(len(texts)), key=lambda k: (not texts[k], len(texts[k])))
-            if np.asarray(self.reference.encode(texts[i]), "<i4").tobytes() != out[i][0]:
-                out[i] = (out[i][0], out[i][1], False)
-        return out
+        self.mark = " " if model.dummy_prefix else ""
+
+    def normal(self, texts: list[str]) -> list[str]:
+        """The texts as the model normalises them, with spaces for the visible marks and without the first one that it adds."""
+        if self.plain:
+            return [x.replace(SPACE, " ") for x in texts]
+        return [x.replace(SPACE, " ").removeprefix(self.mark) for x in map(self.reference.normalize, texts)]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool | None]]:
+        """The ids of each text, whether they decode to the normalised text, whether the reference library gives the same ids."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        same = [x == y for x, y in zip(ids, self.reference.encode(texts, num_threads=THREADS), strict=True)] if self.parity else [None] * len(ids)
+        return [(np.asarray(i, "<i4"), b == w, s) for i, b, w, s in zip(ids, back, self.normal(texts), same, strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -229,12 +170,12 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL, parity: bool = True,
     """doc_id, n_tokens, n_byte_tokens, ids_sha256, round_trip and parity of every document; ids too on request.
 
     The model file (64 MB at most, checked) is read once by the driver and sent with the tasks.
-    ids_sha256 is over the ids as little-endian 32-bit numbers. round_trip says whether the decoded ids
-    are the text as the model normalises it. parity says whether the reference library gives the same
-    ids, for every distinct word where words are independent and for whole texts else; it is null where *parity* is off. Whole texts are encoded, in batches, on several threads.
+    ids_sha256 is over the ids as little-endian 32-bit numbers. Whole texts are encoded, in batches, on several
+    threads; every text's ids are decoded, and round_trip says whether that is the text as the model normalises it. parity says
+    whether the reference library gives the same ids for the whole text, each one compared; it is null where *parity* is off.
 
-    Null and empty texts have no tokens. Rows stay as they are, repeats too; extra columns are ignored
-    (with *keep_ids* all columns stay and clashing ones are replaced).
+    Null and empty texts, and all of a table without texts, have no tokens. Rows stay as they are, repeats too; extra columns
+    are ignored (with *keep_ids* all columns stay and those named as a result are replaced).
     """
     with open(model_path, "rb") as f:
         data = f.read()
@@ -245,7 +186,7 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL, parity: bool = True,
 
 def encode_with(docs: DataFrame, data: bytes, parity: bool = True, keep_ids: bool = False) -> DataFrame:
     added = {"n_tokens": "long", "n_byte_tokens": "long", "ids_sha256": "string", "round_trip": "boolean", "parity": "boolean"} | ({"ids": "array<int>"} if keep_ids else {})
-    d = docs.drop(*[c for c in docs.columns if c.lower() in added]) if keep_ids else own_columns(docs, "doc_id", "text")
+    d = with_text(docs.drop(*[c for c in docs.columns if c.lower() in added])) if keep_ids else own_columns(docs, "doc_id", "text")
     kept = [c for c in d.columns if keep_ids or c != "text"]
     sent = d.sparkSession.sparkContext.broadcast(data)
 
@@ -259,11 +200,11 @@ def encode_with(docs: DataFrame, data: bytes, parity: bool = True, keep_ids: boo
                     texts.append(b.column("text")[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
                 done = codec.encode(texts)
-                arrays = [np.frombuffer(x, "<i4") for x, _, _ in done]
+                arrays = [x for x, _, _ in done]
                 out = [
                     pa.array([len(x) for x in arrays], pa.int64()),
                     pa.array([int(codec.is_byte[x].sum()) for x in arrays], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x, _, _ in done]),
+                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in arrays]),
                     pa.array([x for _, x, _ in done], pa.bool_()),
                     pa.array([x for _, _, x in done], pa.bool_()),
                 ]

@@ -17,6 +17,10 @@ NO_ID = -(2**63)
 STEP_BYTES = 1 << 20
 #: Largest data side, in rows, that an operator broadcasts after counting it.
 BROADCAST_ROWS = 200_000
+#: The same in bytes, for sides whose rows have no bounded width.
+BROADCAST_BYTES = 64 << 20
+#: Folders of the tables that are cut and not yet removed.
+_TABLES: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise *df* in the shared checkpoint folder and cut its lineage there.
 
     The folder is spark.checkpoint.dir of the session; a temporary one is set only where
-    that is unset (local tests). Never a localCheckpoint: executors may be lost.
+    that is unset and the master is local. Never a localCheckpoint: executors may be lost.
     """
     _folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -38,13 +42,31 @@ def cut_table(df: DataFrame) -> DataFrame:
     """The same for larger tables: a compressed Parquet table in the shared checkpoint folder."""
     path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_tables() -> list[str]:
+    """The folders of the tables that cut_table wrote and that are still there."""
+    return list(_TABLES)
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of cut_table, once nothing reads them any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _TABLES:
+            _TABLES.remove(path)
+
+
 def _folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -61,6 +83,22 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{have[n]}`").alias(n) if n in have else F.lit(None).cast(kinds.get(n, "string")).alias(n) for n in names])
 
 
+def with_text(df: DataFrame) -> DataFrame:
+    """*df* with its text column named `text`, null where it lacks one."""
+    have = next((c for c in df.columns if c.lower() == "text"), None)
+    return df.withColumn("text", F.lit(None).cast("string")) if have is None else df.withColumnRenamed(have, "text") if have != "text" else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """*names*, each with as many underscores before it as it takes to clash with no column of *df*."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def text_key(text: str | Column) -> Column:
     """64-bit hash of a text; with the id it tells rows apart that repeat an id."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
@@ -70,6 +108,21 @@ def id_key(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(NO_ID))
 
 
+def row_keys(docs: DataFrame) -> dict[str, Column]:
+    """What tells rows apart, by the name of each key: id, text hash, language and source; a column that the table lacks counts as null."""
+    own = {c.lower(): F.col(f"`{c}`") for c in docs.columns}
+    get = lambda c: own.get(c, F.lit(None).cast("string"))
+    return {"_id": F.coalesce(get("doc_id").cast("long"), F.lit(NO_ID)), "_k": text_key(get("text")), "_lang": F.coalesce(get("lang"), F.lit("")), "_source": F.coalesce(get("source"), F.lit(""))}
+
+
+def without(docs: DataFrame, bad: DataFrame, *keys: str) -> DataFrame:
+    """The rows of *docs*, with their columns, whose keys (of row_keys) are not in *bad*, a table that is cut; no column of *docs* is touched."""
+    names, own = free_names(docs, *keys), row_keys(docs)
+    keyed = docs.withColumns({n: own[k] for n, k in zip(names, keys, strict=True)})
+    bad = bad.select(*[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)])
+    return keyed.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, names, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1, from 0) and bytes of a string array, without copying; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import components
-from quarry.llm.shared import BROADCAST_ROWS, arrow_map, cut, id_key, own_columns, table, text_key
+from quarry.llm.shared import BROADCAST_ROWS, arrow_map, cut, free_names, id_key, own_columns, row_keys, table, text_key
 
 SEED = 42
 SHINGLE = 3
@@ -219,9 +219,11 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component, that of the smallest id (then text hash; null ids last), with the columns of *docs*."""
     g = grouped(cut(fingerprints(docs)), threshold)
     chosen = g.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "_id", "_k")).alias("m")).select("m._id", "m._k")
-    rows = docs.withColumn("_id", id_key("doc_id").cast("long")).withColumn("_k", text_key("text")).join(chosen, ["_id", "_k"])
-    first = Window.partitionBy("_id", "_k").orderBy(F.lit(0))  # equal in id and text; the join has dealt them out so
-    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+    i, k, n = free_names(docs, "_id", "_k", "_n")
+    keys = row_keys(docs)
+    rows = docs.withColumns({i: keys["_id"], k: keys["_k"]}).join(chosen.select(F.col("_id").alias(i), F.col("_k").alias(k)), [i, k])
+    first = Window.partitionBy(i, k).orderBy(F.lit(0))  # equal in id and text; the join has dealt them out so
+    return rows.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,10 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of slices that one suffix array holds.
 SHARD_BYTES = 1 << 19
-#: Different slices of one anchor beyond which its strings become anchors of their own.
-HOT = 16384
+#: Different slices of one anchor beyond which they are cut again, by anchors under another hash.
+HOT = 4096
+#: Times that slices are cut again at most; what is still together then is one shard.
+LEVELS = 12
 
 #: Text bytes that are cut into slices at a time: the hashes stay in a processor's cache.
 STEP = 1 << 18
@@ -33,9 +35,9 @@ STEP = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_hashes(t: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the GRAM bytes from each place: words of eight bytes, combined at each doubling."""
-    h = np.ndarray(len(t) - 7, "<u8", np.ascontiguousarray(t), strides=(1,)) * _MIX
+def gram_hashes(t: np.ndarray, level: int = 0) -> np.ndarray:
+    """64-bit hashes of the GRAM bytes from each place: words of eight bytes, combined at each doubling; others at each *level*."""
+    h = np.ndarray(len(t) - 7, "<u8", np.ascontiguousarray(t), strides=(1,)) * (_MIX + np.uint64(2 * level))
     step = 8
     while step < GRAM:
         h ^= h >> np.uint64(32)
@@ -56,12 +58,12 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def slices(data: np.ndarray, offsets: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, start, number of strings and anchor hash of every slice of the rows of one buffer."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, none
-    h = gram_hashes(data)
+    h = gram_hashes(data, level)
     packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     anchor = sliding_least(packed, LENGTH - GRAM + 1)
     n = np.diff(offsets) - LENGTH + 1
@@ -78,7 +80,7 @@ def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def types_of(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next (S); the sentinel is."""
-    d = np.sign(np.diff(t.astype(np.int16)))
+    d = np.sign(np.diff(t.astype(np.int64 if t.itemsize > 1 else np.int16)))
     at = np.where(d != 0, np.arange(len(d)), len(d) - 1)
     at = np.minimum.accumulate(at[::-1])[::-1]
     return np.append(d[at] > 0, True)
@@ -146,56 +148,81 @@ def induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return sa
 
 
-def order_of(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of the reduced string: ranks are doubled, in groups that are still tied."""
-    m = len(names)
-    rank = np.searchsorted(np.sort(names), names).astype(np.int64)
-    todo = np.arange(m)
-    step = 1
-    while True:
-        count = np.bincount(rank[todo], minlength=m)
-        todo = todo[count[rank[todo]] > 1]
-        if not len(todo):
-            return np.argsort(rank, kind="stable")
-        nxt = np.where(todo + step < m, rank[np.minimum(todo + step, m - 1)] + 1, 0)
-        key = rank[todo] * (m + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        key, todo = key[order], todo[order]
-        group = rank[todo]
-        new_group = np.concatenate([[True], group[1:] != group[:-1]])
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        at = np.arange(len(todo))
-        rank[todo] = group + np.maximum.accumulate(np.where(new_key, at, 0)) - np.maximum.accumulate(np.where(new_group, at, 0))
-        step *= 2
+def induced(t: list[int], s_type: list[bool], sizes: list[int], lms: list[int]) -> list[int]:
+    """The same for the numbers of a reduced string, whose buckets are too many and small for vectors: one place at a time."""
+    heads, at = [], 0
+    for k in sizes:
+        heads.append(at)
+        at += k
+    tails = [*heads[1:], at]
+    sa, free = [-1] * len(t), tails.copy()
+    for i in reversed(lms):
+        c = t[i]
+        free[c] -= 1
+        sa[free[c]] = i
+    for k in range(len(t)):
+        i = sa[k] - 1
+        if i >= 0 and not s_type[i]:
+            c = t[i]
+            sa[heads[c]] = i
+            heads[c] += 1
+    for k in range(len(t) - 1, -1, -1):
+        i = sa[k] - 1
+        if i >= 0 and s_type[i]:
+            c = t[i]
+            tails[c] -= 1
+            sa[tails[c]] = i
+    return sa
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of bytes that end in the only zero, the sentinel."""
-    s_type = types_of(t)
-    is_lms = np.zeros(len(t), bool)
+def leftmost_smaller(s_type: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each suffix is of type S after one of type L, and where those are."""
+    is_lms = np.zeros(len(s_type), bool)
     is_lms[1:] = s_type[1:] & ~s_type[:-1]
-    lms = np.flatnonzero(is_lms).astype(np.int32)
-    sa = induce(t, s_type, lms)
-    ordered = sa[is_lms[sa]]  # the leftmost-smaller substrings in order
-    end = np.append(lms[1:], len(t) - 1)
+    return is_lms, np.flatnonzero(is_lms).astype(np.int32)
+
+
+def names_of(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
+    """The reduced string: for each leftmost-smaller substring its rank, equal ones the same; and how many ranks there are."""
     length = np.zeros(len(t), np.int32)
-    length[lms] = end - lms
+    length[lms] = np.append(lms[1:], len(t) - 1) - lms
     x, y = ordered[:-1].astype(np.int64), ordered[1:].astype(np.int64)
     same = length[x] == length[y]
     live, step = np.flatnonzero(same), 0
     while len(live):
         live = live[length[x[live]] >= step]
-        if not len(live):
-            break
         differs = t[x[live] + step] != t[y[live] + step]
         same[live[differs]] = False
         live = live[~differs]
         step += 1
-    if same.any():
-        names = np.zeros(len(t), np.int64)
-        names[ordered] = np.concatenate([[0], np.cumsum(~same)])
-        ordered = lms[order_of(names[lms])]
-    return induce(t, s_type, ordered)
+    names = np.zeros(len(t), np.int64)
+    names[ordered] = np.concatenate([[0], np.cumsum(~same)])
+    return names[lms], int((~same).sum()) + 1
+
+
+def reduced_order(names: np.ndarray, ranks: int) -> np.ndarray:
+    """Order of the suffixes of a reduced string, whose last number is the only zero."""
+    if ranks == len(names):
+        return np.argsort(names)
+    s_type = types_of(names)
+    is_lms, lms = leftmost_smaller(s_type)
+    t, types, sizes = names.tolist(), s_type.tolist(), np.bincount(names, minlength=ranks).tolist()
+    sa = np.array(induced(t, types, sizes, lms.tolist()))
+    smaller, k = names_of(names, lms, sa[is_lms[sa]])
+    return np.array(induced(t, types, sizes, lms[reduced_order(smaller, k)].tolist()))
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Suffix array of bytes that end in the only zero, the sentinel.
+
+    The leftmost-smaller substrings are sorted by inducing from their first bytes and named; the string
+    of the names is sorted in the same way, recursively, and its order induces that of all suffixes.
+    """
+    s_type = types_of(t)
+    is_lms, lms = leftmost_smaller(s_type)
+    sa = induce(t, s_type, lms)
+    names, ranks = names_of(t, lms, sa[is_lms[sa]])
+    return induce(t, s_type, lms[reduced_order(names, ranks)])
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -278,24 +305,33 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def slice_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """*wanted* (key, slice, c, n and a place _id, _k, start) with the bytes of each slice."""
+    """*wanted* (key, slice, c, n and a place _id, _k, start) with the bytes of each slice, from one of the rows that are equal in id and text."""
     per_doc = wanted.groupBy("_id", "_k").agg(F.collect_list(F.struct("key", "slice", "c", "start", "n")).alias("s"))
-    both = docs.join(per_doc, ["_id", "_k"]).select("text", "s")
-
-    def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        offsets, data = buffers(b.column("text"))
-        s = b.column("s")
-        flat = s.flatten()
-        row = np.repeat(np.arange(len(s)), np.diff(s.offsets.to_numpy()))
-        start = flat.field("start").to_numpy() + offsets[row]
-        n = flat.field("n").to_numpy()
-        raw = data.tobytes()
-        for i in range(0, len(row), 50_000):
-            j = min(len(row), i + 50_000)
-            texts = [raw[x:y] for x, y in zip(start[i:j].tolist(), (start + n + LENGTH - 1)[i:j].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[flat.field(c).slice(i, j - i) for c in ("key", "slice", "c", "n")], pa.array(texts, pa.binary())], names=["key", "slice", "c", "n", "bytes"])
+    both = docs.join(per_doc, ["_id", "_k"]).select("_id", "_k", "text", "s")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            new = []
+            for x in zip(b.column("_id").to_pylist(), b.column("_k").to_pylist(), strict=True):
+                new.append(x not in seen)
+                seen.add(x)
+            b = b.filter(pa.array(new, pa.bool_()))
+            if not b.num_rows:
+                continue
+            offsets, data = buffers(b.column("text"))
+            s = b.column("s")
+            flat = s.flatten()
+            row = np.repeat(np.arange(len(s)), np.diff(s.offsets.to_numpy()))
+            start = flat.field("start").to_numpy() + offsets[row]
+            n = flat.field("n").to_numpy()
+            raw = data.tobytes()
+            for i in range(0, len(row), 50_000):
+                j = min(len(row), i + 50_000)
+                texts = [raw[x:y] for x, y in zip(start[i:j].tolist(), (start + n + LENGTH - 1)[i:j].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[flat.field(c).slice(i, j - i) for c in ("key", "slice", "c", "n")], pa.array(texts, pa.binary())], names=["key", "slice", "c", "n", "bytes"])
 
-    return arrow_map(both, work, "key long, slice long, c long, n int, bytes binary")
+    return both.mapInArrow(work, "key long, slice long, c long, n int, bytes binary")
 
 
 def _runs(keys: list[int], hashes: list[int], marks: list[np.ndarray]) -> pa.RecordBatch:
@@ -310,41 +346,58 @@ def _runs(keys: list[int], hashes: list[int], marks: list[np.ndarray]) -> pa.Rec
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices sorted by anchor, in shards of SHARD_BYTES that end between anchors."""
-    rows: list[tuple] = []
-    size = 0
+    rows: dict[tuple[int, int], tuple] = {}  # a slice that comes twice is the same one
+    size, last = 0, None
 
-    def done(part: list[tuple]) -> pa.RecordBatch:
-        seen: dict[tuple[int, int], tuple] = {(r[0], r[1]): r for r in part}  # a document that is there twice gives a slice twice
-        part = list(seen.values())
-        marks = repeated([r[4] for r in part], np.array([r[3] for r in part]), np.array([r[2] for r in part]))
-        return _runs([r[0] for r in part], [r[1] for r in part], marks)
+    def done() -> pa.RecordBatch:
+        marks = repeated([r[4] for r in rows.values()], np.array([r[3] for r in rows.values()]), np.array([r[2] for r in rows.values()]))
+        return _runs([r[0] for r in rows.values()], [r[1] for r in rows.values()], marks)
 
     for b in batches:
         for r in zip(*[b.column(c).to_pylist() for c in ("key", "slice", "c", "n", "bytes")], strict=True):
-            if size >= SHARD_BYTES and r[0] != rows[-1][0]:
-                yield done(rows)
-                rows, size = [], 0
-            rows.append(r)
-            size += len(r[4])
+            if size >= SHARD_BYTES and r[0] != last:
+                yield done()
+                rows, size = {}, 0
+            if (r[0], r[1]) not in rows:
+                rows[r[0], r[1]] = r
+                size += len(r[4])
+            last = r[0]
     if rows:
-        yield done(rows)
+        yield done()
 
 
-def _hot_runs(hot: DataFrame) -> DataFrame:
-    """The same for anchors of very many different slices: each 200-byte string is grouped by its own hash.
+def _cut_again(hot: DataFrame, level: int) -> DataFrame:
+    """The slices of hot anchors in parts by anchors under another hash: key2, slice2, c, n and bytes of the part, and key, slice and start of where it is.
 
-    Such a string's equals all have its hash, so the groups are complete, small, and spread evenly.
+    Equal strings have equal anchors under any hash, so they still meet.
     """
 
-    def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for key, sl, c, n, text in zip(*[b.column(x).to_pylist() for x in ("key", "slice", "c", "n", "bytes")], strict=True):
-            h = [xxhash.xxh3_128_intdigest(text[i : i + LENGTH]) for i in range(n)]
-            a = [np.array([x >> s & 0xFFFFFFFFFFFFFFFF for x in h], np.uint64).view(np.int64) for s in (64, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, key), np.full(n, sl), np.full(n, c), np.arange(n, dtype=np.int32), *a)], names=["key", "slice", "c", "i", "h1", "h2"])
-
-    w = arrow_map(hot, each, "key long, slice long, c long, i int, h1 long, h2 long").dropDuplicates(["key", "slice", "i"])
-    twice = w.groupBy("h1", "h2").agg(F.sum("c").alias("t")).filter("t >= 2").select("h1", "h2")
-    return w.join(twice, ["h1", "h2"]).select("key", "slice", F.col("i").alias("from"), F.lit(1).alias("count"))
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i, j in steps(buffers(batch.column("bytes"))[0], STEP):
+            b = batch.slice(i, j - i)
+            offsets, data = buffers(b.column("bytes"))
+            row, start, n, anchor = slices(data, offsets, level)
+            raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+            parts = [raw[x:y] for x, y in zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)]
+            key = b.column("key").to_numpy()[row]
+            key2 = (key.view(np.uint64) * _MIX) ^ anchor.view(np.uint64)
+            columns = [key2.view(np.int64), np.fromiter(map(digest, parts), np.uint64, len(parts)).view(np.int64), b.column("c").to_numpy()[row], n.astype(np.int32), key, b.column("slice").to_numpy()[row], (start - offsets[row]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=["key2", "slice2", "c", "n", "key", "slice", "start", "bytes"])
+
+    return arrow_map(hot, work, "key2 long, slice2 long, c long, n int, key long, slice long, start int, bytes binary")
+
+
+def _marked(texts: DataFrame, hot: int, level: int = 1) -> DataFrame:
+    """key, slice, from and count of the repeated strings of slices with bytes; a hot anchor's slices are cut again until none is hot."""
+    texts = cut_table(texts)
+    busy = cut(texts.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > hot).select("key"))
+    if level > LEVELS or not busy.take(1):
+        return texts.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, "key long, slice long, from int, count int")
+    rest = texts.join(busy, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_shards, "key long, slice long, from int, count int")
+    parts = cut_table(_cut_again(texts.join(busy, "key", "left_semi"), level))
+    kinds = parts.groupBy(F.col("key2").alias("key"), F.col("slice2").alias("slice")).agg(F.sum("c").alias("c"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
+    deeper = _marked(kinds, hot, level + 1).select(F.col("key").alias("key2"), F.col("slice").alias("slice2"), "from", "count")
+    return rest.unionByName(parts.select("key2", "slice2", "key", "slice", "start").join(deeper, ["key2", "slice2"]).select("key", "slice", (F.col("start") + F.col("from")).alias("from"), "count"))
 
 
 def repeated_runs(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -360,16 +413,13 @@ def repeated_runs(docs: DataFrame, hot: int = HOT) -> DataFrame:
     several = cut(variety.filter("kinds > 1"))
     whole = kinds.join(several, "key", "left_anti").select("key", "slice", F.lit(0).alias("from"), F.col("n").alias("count"))
     texts = slice_texts(docs, kinds.join(several.select("key"), "key"))
-    busy = several.filter(F.col("kinds") > hot).select("key")
-    if busy.take(1):
-        texts = cut_table(texts)
-        rest = texts.join(busy, "key", "left_anti")
-        whole = whole.unionByName(_hot_runs(texts.join(busy, "key", "left_semi")))
+    if several.filter(F.col("kinds") > hot).take(1):
+        marked = _marked(texts.dropDuplicates(["key", "slice"]), hot)
     else:
-        rest = texts
-    sharded = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, "key long, slice long, from int, count int")
-    runs = cut_table(sharded.unionByName(whole))
-    return hits.join(runs, ["key", "slice"]).groupBy("_id", "_k").agg(F.collect_list(F.struct((F.col("start") + F.col("from")).alias("from"), "count")).alias("runs"))
+        marked = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, "key long, slice long, from int, count int")
+    runs = cut_table(marked.unionByName(whole))
+    # rows that are equal in id and text have the same runs: a set, combined before the shuffle, is no larger than one of them
+    return hits.join(runs, ["key", "slice"]).groupBy("_id", "_k").agg(F.collect_set(F.struct((F.col("start") + F.col("from")).alias("from"), "count")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -379,7 +429,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     is removed, judged on the input; matches never cross documents. A null text is empty. Texts are
     UTF-8. Rows that repeat an id and text are copies of one another; extra columns are ignored; an
     empty table gives an empty result. The copies of a slice are counted before the shuffle, and a slice
-    is sorted once; an anchor with more than *hot* different slices is spread over its strings.
+    is sorted once; the slices of an anchor that has more than *hot* different ones are cut again by further anchors.
     """
     d = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), id_key("doc_id").cast("long").alias("_id"), text_key("text").alias("_k"), F.coalesce("text", F.lit("")).alias("text"))
     runs = repeated_runs(d, hot)

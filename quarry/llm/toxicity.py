@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,14 @@ from quarry.llm.shared import cut, own_columns, table, text_key
 LABELLED = 20_000
 #: Characters of history of the language model, and its symbols: a word's edge, a to z, any other letter.
 HISTORY, SYMBOLS = 3, 28
-#: Partial decodings that stay open at each character.
-BEAM = 16
 #: Costs of the channel, in nats: a letter written as a look-alike, a repeated letter, a separator put between.
 LOOKALIKE, REPEATED, INSERTED = 0.7, 0.4, 0.9
 #: Cost of a look-alike character that stands for nothing: more than a letter in its place.
 IDLE = 4.5
 #: Tokens whose evidence a worker keeps.
 KEEP = 500_000
+#: Log odds of a document where no label tells anything: not toxic.
+UNLABELLED = -4.0
 #: A feature counts if so many toxic texts have it and its log odds are so many standard errors above zero.
 MIN_TOXIC, SIGNIFICANT = 3, 3.0
 
@@ -49,7 +50,7 @@ def symbols(codes: np.ndarray) -> np.ndarray:
     s = np.zeros(len(codes), np.int64)
     low = (codes >= 97) & (codes <= 122)
     s[low] = codes[low] - 96
-    s[(codes >= 0xC0) & (codes != 0xD7) & (codes != 0xF7) & (codes < 0x2000)] = 27
+    s[(codes >= 0xC0) & (codes != 0xD7) & (codes != 0xF7) & ((codes < 0x2000) | (codes >= 0x2E80))] = 27  # between them stand signs
     return s
 
 
@@ -97,39 +98,50 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
+@lru_cache(maxsize=65536)
 def _symbol(ch: str) -> int:
-    return ord(ch) - 96 if "a" <= ch <= "z" else 27 * (ch != " ")
+    return int(symbols(np.array([ord(ch)]))[0])
 
 
-def decode(token: str, costs: np.ndarray) -> str:
-    """The likeliest word behind a token: Viterbi over its character lattice, BEAM histories wide.
-
-    Each character is itself, a letter that it looks like, or nothing where it repeats the one before or is no letter.
-    A space is the edge of a word, or was put between.
-    """
-    states: dict[tuple[int, ...], tuple[float, str]] = {(0,) * HISTORY: (0.0, "")}
-    before = ""
+def options(token: str) -> list[list[tuple[str, float]]]:
+    """The lattice: what each character may stand for ("" for nothing) and the cost of it in the channel."""
+    out, before = [], ""
     for ch in token:
-        options = [(ch, 0.0)] if ch.isalpha() or ch == " " else []
-        options += [(x, LOOKALIKE) for x in LOOKS.get(ch, "")]
+        own = [(ch, 0.0)] if ch.isalpha() or ch == " " else []
+        own += [(x, LOOKALIKE) for x in LOOKS.get(ch, "")]
         if ch == before:
-            options.append(("", REPEATED))
+            own.append(("", REPEATED))
         elif not ch.isalpha():
-            options.append(("", IDLE if ch in LOOKS else INSERTED))
+            own.append(("", IDLE if ch in LOOKS else INSERTED))
         if ch != " ":
             before = ch
+        out.append(own)
+    return out
+
+
+def decode(token: str, costs: np.ndarray) -> str:
+    """The likeliest word behind a token: Viterbi over its character lattice, exact.
+
+    Each character is itself, a letter that it looks like, or nothing where it repeats the one before or is no letter.
+    A space is the edge of a word, or was put between. A state is the last HISTORY symbols, all that the language
+    model looks at, so of the paths to a state only the cheapest (then the first in order) can go on, and none is dropped else.
+    """
+    states: dict[tuple[int, ...], tuple[float, str]] = {(0,) * HISTORY: (0.0, "")}
+    for own in options(token):
+        letters = [(x, _symbol(x), extra) for x, extra in own if x]
+        skipped = min((extra for x, extra in own if not x), default=None)
         new: dict[tuple[int, ...], tuple[float, str]] = {}
         for history, (cost, word) in states.items():
-            for x, extra in options:
-                if x:
-                    s = _symbol(x)
-                    key, total = (*history[1:], s), cost + extra + float(costs[history][s])
-                else:
-                    key, total = history, cost + extra
-                if key not in new or total < new[key][0]:
-                    new[key] = (total, word + x)
-        states = dict(sorted(new.items(), key=lambda kv: (kv[1], kv[0]))[:BEAM])
-    return min((c + float(costs[h][0]), w) for h, (c, w) in states.items())[1] if states else ""
+            if skipped is not None and (history not in new or (cost + skipped, word) < new[history]):
+                new[history] = (cost + skipped, word)
+            if letters:
+                row, rest = costs[history], history[1:]
+                for x, s, extra in letters:
+                    found, key = (cost + extra + float(row[s]), word + x), (*rest, s)
+                    if key not in new or found < new[key]:
+                        new[key] = found
+        states = new
+    return min((c + float(costs[h][0]), w) for h, (c, w) in states.items())[1]
 
 
 def stripped(token: str) -> str:
@@ -148,8 +160,6 @@ def readings(token: str, costs: np.ndarray) -> list[str]:
     t = stripped(token)
     if not t:
         return []
-    if len(t) < 3:  # too short to hide a word
-        return [t]
     if _PLAIN.fullmatch(t) and not _TWICE.search(t) and (t.isascii() or not _LOOKING.search(t)):
         return [t]
     return list(dict.fromkeys([t, decode(t, costs)]))
@@ -273,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     lab = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     sample = docs.join(F.broadcast(lab), "doc_id").withColumn("_k", text_key("text")).groupBy("_k").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
-    sample = cut(sample.select("toxic", "text"))
+    sample = cut(sample.orderBy(F.xxhash64("_k"), "_k").limit(bound).select("toxic", "text"))  # a repeated id may have many texts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, reader = (Counter(), Counter()), Reader(sent.value)
@@ -288,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     odds = F.log((F.col("t") + 0.5) / (n.t + 1)) - F.log((F.col("c") + 0.5) / (n.c + 1))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     rows = df.select("feature", odds.alias("w"), error.alias("e")).filter(F.col("w") > SIGNIFICANT * F.col("e")).collect()  # bounded by the sample
-    model = Model(costs, {r.feature: r.w - r.e for r in rows if r.w > r.e}, np.zeros(5))
+    model = Model(costs, {r.feature: r.w - r.e for r in rows if r.w > r.e}, np.array([0, 0, 0, 0, UNLABELLED]))
     half = spark.sparkContext.broadcast(model)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
             v = np.array([s.vector(t) for t in b.column("text").to_pylist()]).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([pa.array(v[:, i]) for i in range(5)] + [b.column("toxic")], names=[*"abcde", "y"])
 
-    got = sample.mapInArrow(vectors, "a double, b double, c double, d double, e double, y int").collect()
+    got = sample.mapInArrow(vectors, "a double, b double, c double, d double, e double, y int").collect()  # *bound* rows at most
     if not got:
         return model
     data = np.array([list(r) for r in got])
@@ -316,7 +326,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) ->
     logistic regression. The classifier sees at most *bound* labelled texts, never one whose crc32(doc_id) mod 5 is 0;
     doc_id, lang, source and labels take no part in a score.
 
-    Null and empty texts get the score of no evidence; without any labels every score is 0.5 or that of no evidence. Rows
+    Null and empty texts get the score of no evidence; without any labels every score is
+    that of UNLABELLED, and no document is toxic. Rows
     stay as they are, repeats too; extra columns are ignored; an empty table gives an empty result.
     """
     d = own_columns(docs, "doc_id", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import literal_table, own_columns, table
+from quarry.llm.shared import free_names, literal_table, own_columns, table
 
 #: The rules of the registered query, as (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -32,49 +32,57 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -
     return literal_table(spark, [dict(zip(("r_host", "r_path", "r_verdict"), x, strict=True)) for x in rules])
 
 
+def digest(*parts: str | Column) -> Column:
+    return F.sha2(F.concat_ws("\n", *parts), 256)
+
+
+def met(expressions: DataFrame, rules: DataFrame) -> DataFrame:
+    """The join of digest and r_digest on their first digits; the rest confirms it."""
+    e, r = (d.withColumn("prefix", F.substring(c, 1, PREFIX_HEX)) for d, c in ((expressions, "digest"), (rules, "r_digest")))
+    return e.join(r, "prefix").filter("digest = r_digest").drop("prefix", "digest", "r_digest")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
     """*pages* with host, path, rule and verdict.
 
     A rule (host, path) fits its host and every subdomain of it if the URL's path starts with the
-    rule's path; the longest rule wins, then the smallest rule, then block. Every URL is expanded into
-    its host suffixes (cut at dots) and those path prefixes whose (labels, path length) shape some rule
-    has, so the expansion of a hostile URL stays as small as the rule table's shapes and no rule is
-    missed. The expressions meet the rules by the first digits of a SHA-256 digest, then the whole
-    digest is confirmed. Distinct (host, path) pairs are judged once: a host or URL that holds a third
+    rule's path; the longest rule wins, then the smallest rule, then block. Every URL is expanded first into
+    its host suffixes (cut at dots), which meet the rules' hosts by the first digits of a SHA-256 digest, the whole one confirmed.
+    What has a rule is then expanded into the path prefixes of those lengths that rules of that host have, which meet the
+    rules in the same way. So a hostile URL's expansion is bounded by its labels and by its path's length, whatever the number of rules,
+    and no rule is missed. Distinct (host, path) pairs are judged once: a host or URL that holds a third
     of the rows is one row here, and the join back to the pages is one that Spark splits when skewed.
 
     A null URL, or one without `://`, has an empty host and path and fits no rule. Repeated rows stay,
     extra columns stay, and an empty table gives an empty result.
     """
-    taken = {c.lower() for c in pages.columns} & {"host", "path", "rule", "verdict", "_h", "_p"}
-    pages = pages.drop(*[c for c in pages.columns if c.lower() in taken])
-    parts = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    r = rules.filter("r_host is not null and r_path is not null").select(
-        "r_host", "r_path", "r_verdict", F.sha2(F.concat_ws("\n", "r_host", "r_path"), 256).alias("r_digest"),
-        F.size(F.split("r_host", r"\.")).alias("labels"), F.length("r_path").alias("chars"),
-    )
-    # the shapes are bounded by the labels of a host and the characters of a path, whatever the number of rules
-    shapes = [F.struct(F.lit(x.labels).alias("labels"), F.lit(x.chars).alias("chars")) for x in r.select("labels", "chars").distinct().orderBy("labels", "chars").collect()]
-    if not shapes:
-        return parts.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+    pages = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict")])
+    h, p = free_names(pages, "_h", "_p")
+    parts = pages.withColumn("host", host_of(F.col(f"`{url}`"))).withColumn("path", path_of(F.col(f"`{url}`")))
+    r = rules.filter("r_host is not null and r_path is not null").select("r_host", "r_path", "r_verdict", digest("r_host", "r_path").alias("r_digest"), F.length("r_path").alias("chars"))
+    hosts = r.groupBy("r_host").agg(F.array_sort(F.collect_set("chars")).alias("lengths")).withColumn("r_digest", digest("r_host"))  # at most one length for each character of a path
     pairs = parts.filter("host <> ''").select("host", "path").distinct()
-    expressions = (
-        pairs.withColumn("s", F.explode(F.array(*shapes)))
-        .withColumn("n", F.size(F.split("host", r"\.")))
-        .filter("s.labels <= n and s.chars <= length(path)")
-        .select("host", "path", F.expr("substring_index(host, '.', -s.labels)").alias("e_host"), F.expr("substring(path, 1, s.chars)").alias("e_path"))
-        .withColumn("digest", F.sha2(F.concat_ws("\n", "e_host", "e_path"), 256))
-        .select("host", "path", "digest", F.substring("digest", 1, PREFIX_HEX).alias("prefix"))
+    suffixes = (
+        pairs.select("host", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("n"))
+        .distinct()
+        .select("host", F.expr("substring_index(host, '.', -n)").alias("e_host"))
+        .withColumn("digest", digest("e_host"))
+    )
+    ruled = met(suffixes, hosts).select("host", "e_host", "lengths")
+    prefixes = (
+        pairs.join(ruled, "host")
+        .select("host", "path", "e_host", F.explode("lengths").alias("chars"))
+        .filter("chars <= length(path)")
+        .withColumn("digest", digest("e_host", F.expr("substring(path, 1, chars)")))
     )
     found = (
-        expressions.join(r.withColumn("prefix", F.substring("r_digest", 1, PREFIX_HEX)), "prefix")
-        .filter("digest = r_digest")
+        met(prefixes.drop("chars"), r)
         .select("host", "path", F.concat("r_host", "r_path").alias("rule"), "r_verdict")
         .groupBy("host", "path")
         .agg(F.min(F.struct((-F.length("rule")).alias("len"), F.col("rule"), F.when(F.col("r_verdict") == "block", 0).otherwise(1).alias("second"), F.col("r_verdict"))).alias("best"))
-        .select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("verdict"))
+        .select(F.col("host").alias(h), F.col("path").alias(p), F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("verdict"))
     )
-    out = parts.join(found, (parts.host == found._h) & (parts.path == found._p), "left").drop("_h", "_p")
+    out = parts.join(found, (parts.host == found[h]) & (parts.path == found[p]), "left").drop(h, p)
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
