@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, quality, sentencepiece, simhash, surrogates
-from quarry.llm.shared import cut_table, table
+from quarry.llm.shared import cut_table, cut_tables, remove_tables, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,10 +54,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents. What a stage cut goes once its result is written; the last result reads the last table."""
+    docs, old = table(spark, sf_dir, "documents"), cut_tables()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
+            used = [p for p in cut_tables() if p not in old]
             docs = cut_table(docs)
+            remove_tables(spark, used)
     return docs
