@@ -371,7 +371,8 @@ def test_models_of_every_kind_agree_or_say_so():
     texts += ["".join(r.choice("abcdeth $x") for _ in range(r.randrange(60))) for _ in range(300)]
     for name, data in (("unigram", proto(plain)), ("spaces stay", proto(plain, strip=False)), ("bytes", proto(raw, bytes_=True)), ("charsmap", proto(plain, charsmap=normal)), ("own", proto(plain + [("abca", 0.0, 4)])), ("bpe", proto(plain, 2)), ("bpe bytes", proto(raw, 2, True)), ("bpe own", proto(plain + [("abca", 0.0, 4)], 2))):
         ref = sp.SentencePieceProcessor(model_proto=data)
-        got = sentencepiece.Codec(data).encode(texts)
+        codec = sentencepiece.Codec(data)
+        got = codec.encode(texts)
         agree = [x.tolist() == ref.encode(t) for t, (x, _, _) in zip(texts, got)]
         assert agree == [p for _, _, p in got], name
         differ = [t for t, a in zip(texts, agree) if not a]
@@ -379,13 +380,17 @@ def test_models_of_every_kind_agree_or_say_so():
         for t, (x, back, _) in zip(texts, got):
             if 0 not in x.tolist() and t != "<0x41>":  # all but unknown pieces come back
                 assert back, (name, t, x.tolist())
+                assert codec.decode(x.tolist()).decode() == codec.tokenizer.decode(x.tolist(), skip_special_tokens=False) == ref.decode(x.tolist())
 
 
 def test_wrong_parity_is_told(monkeypatch):
     codec = sentencepiece.Codec(open(sentencepiece.MODEL, "rb").read())
     texts = ["a", words(50, 1), words(5000, 2)]
     assert all(s and b for _, b, s in codec.encode(texts))
-    monkeypatch.setattr(codec, "tokenizer", sentencepiece.build(sentencepiece.Model([("<unk>", 0.0, 2), ("a", -1.0, 1)])))
+    wrong = sentencepiece.build(sentencepiece.Model([("<unk>", 0.0, 2), ("a", -1.0, 1)]))
+    monkeypatch.setattr(codec, "known", dict.fromkeys(codec.known, [5]))  # a wrong short cut is seen and not taken
+    assert all(s and b for _, b, s in codec.encode(texts))
+    monkeypatch.setattr(codec, "tokenizer", wrong)
     assert [s for _, _, s in codec.encode(texts)] == [False] * 3
 
 
