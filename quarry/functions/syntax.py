@@ -31,6 +31,7 @@ _TOKEN = re.compile(
     |(?P<op>->|===|!==|==|!=|<=|>=|&&|\|\||\?\?|\.\.\.|\.\.<|[-+*/%&|^]=|.)""",
     re.VERBOSE | re.DOTALL,
 )
+_RAW_STRING = re.compile('#+"')
 _CLOSER = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -44,8 +45,14 @@ class Token:
     comments: list[str] = field(default_factory=list)
 
 
-def _string_end(s: str, i: int) -> int:
+#: Interpolations within one another that are followed; what lies deeper ends the text.
+NESTED = 50
+
+
+def _string_end(s: str, i: int, level: int = 0) -> int:
     """End of the string literal that opens at *i* (a quote or hash signs before one)."""
+    if level > NESTED:
+        return len(s)
     hashes = 0
     while s[i + hashes] == "#":
         hashes += 1
@@ -60,7 +67,7 @@ def _string_end(s: str, i: int) -> int:
                 depth = 0
                 while i < len(s):
                     if s[i] == '"':
-                        i = _string_end(s, i)
+                        i = _string_end(s, i, level + 1)
                         continue
                     depth += (s[i] == "(") - (s[i] == ")")
                     i += 1
@@ -101,7 +108,7 @@ def tokens(s: str) -> list[Token]:
             comments.append(s[i:j])
             i, spaced = j, True
             continue
-        if c == '"' or (c == "#" and s[i:].lstrip("#")[:1] == '"' if s[i + 1 : i + 2] in ('"', "#") else False):
+        if c == '"' or (c == "#" and _RAW_STRING.match(s, i)):
             kind, j = "string", _string_end(s, i)
         else:
             m = _TOKEN.match(s, i)
@@ -118,8 +125,11 @@ class Source:
         self.s, self.t = text, tokens(text)
         self.newlines = [i for i, c in enumerate(text) if c == "\n"]
         self.pair: dict[int, int] = {}
+        #: For each token the innermost bracket that is open before it.
+        self.inside: list[int | None] = []
         stack: list[int] = []
         for i, t in enumerate(self.t):
+            self.inside.append(stack[-1] if stack else None)
             if t.kind != "op":
                 continue
             if t.text in _CLOSER:
@@ -365,13 +375,10 @@ class Source:
 
     def innermost(self, i: int) -> int | None:
         """The brace that directly holds token *i*."""
-        while i > 0:
-            i -= 1
-            if self.at(i) == "{" and i in self.pair:
-                return i
-            if self.at(i) == "}" and i in self.pair:
-                i = self.pair[i]
-        return None
+        o = self.inside[i]
+        while o is not None and (self.at(o) != "{" or o not in self.pair):
+            o = self.inside[o]
+        return o
 
     def is_type_position(self, a: int, i: int) -> bool:
         if self.at(a - 1) == "->":
@@ -380,8 +387,22 @@ class Source:
             return False
         if self.at(a - 3) in ("let", "var"):
             return True
-        depth_open = next((j for j in self.params if j < i < self.pair[j]), None)
-        return depth_open is not None
+        o = self.inside[i]
+        while o is not None and o not in self.params:
+            o = self.inside[o]
+        return o is not None
+
+    def scope(self, i: int) -> str:
+        """The text between the round or square brackets that directly hold token *i*; empty where braces do."""
+        o = self.inside[i]
+        return self.span(o + 1, self.pair[o] - 1) if o is not None and self.at(o) != "{" and o in self.pair else ""
+
+    def assignment(self, i: int) -> None:
+        """The operator at *i* as an assignment, unless it gives a declared name or a parameter its first value."""
+        a = self.chain_start(i - 1)
+        before = self.at(a - 1)
+        if before not in ("let", "var", ":", "case", "?", "typealias", "associatedtype", ">", "]") and self.inside[i] not in self.params:
+            self.add("AssignExpr", a, self.line_end(i), base=self.span(a, i - 1), callee=self.at(i), literal=self.span(i + 1, self.line_end(i)))
 
     def expressions(self) -> None:
         for i, t in enumerate(self.t):
@@ -389,7 +410,13 @@ class Source:
             if t.kind == "string":
                 self.add("StringLiteralExpr", i, i, literal=x.strip("#").strip('"'))
             elif t.kind == "number" and re.fullmatch(r"[\d_]+", x):
-                self.add("IntegerLiteralExpr", i, i, literal=x.replace("_", ""))
+                self.add("IntegerLiteralExpr", i, i, literal=x.replace("_", ""), base=self.scope(i))
+            elif x == "await" and t.kind == "word":
+                self.add("AwaitExpr", i, self.line_end(i))
+            elif t.kind == "mark" and x[0] == "@":
+                self.add("Attribute", i, self.pair.get(i + 1, i) if self.at(i + 1) == "(" and not self.t[i + 1].spaced else i, name=x)
+            elif (x == "=" or x in ("+=", "-=")) and i and (self.names(i - 1) or self.at(i - 1) in (")", "]", "?", "!")):
+                self.assignment(i)
             elif x == "try" and self.at(i + 1) in ("!", "?") and not self.t[i + 1].spaced:
                 self.add("TryExpr", i, self.line_end(i), bang=self.at(i + 1) == "!")
             elif x == "as" and i and self.at(i + 1) in ("!", "?") and not self.t[i + 1].spaced:

@@ -21,6 +21,11 @@ ACCESSIBILITY = ["accessibilityLabel", "accessibilityHint", "accessibilityValue"
 LOCKS = ["NSLock", "NSRecursiveLock", "DispatchSemaphore", "OSAllocatedUnfairLock"]
 LOCALIZED = [".localize()", "NSLocalizedString", "LocalizedStringKey", 'Text("', 'Label("', ".localized", "L10n.", "Strings."]
 EXPANSIONS = {"auth": "authentication", "btn": "button", "vc": "viewcontroller", "vm": "viewmodel", "mgr": "manager", "ctx": "context", "req": "request", "res": "response", "cfg": "config", "init": "initialize"}
+ATTRIBUTES = [
+    "@MainActor", "@globalActor", "@Sendable", "@nonisolated", "@available", "@unavailable", "@discardableResult", "@inlinable", "@usableFromInline", "@objc", "@objcMembers", "@nonobjc", "@escaping", "@autoclosure", "@convention",
+    "@frozen", "@unknown", "@IBAction", "@IBOutlet", "@IBDesignable", "@IBInspectable", "@testable", "@_exported", "@dynamicMemberLookup", "@dynamicCallable", "@propertyWrapper", "@resultBuilder", "@preconcurrency", "@unchecked",
+]
+WRAPPERS = ["@State", "@Binding", "@ObservedObject", "@StateObject", "@EnvironmentObject", "@Environment", "@Published", "@FocusState", "@GestureState", "@SceneStorage", "@AppStorage", "@FetchRequest", "@Query", "@Inject", "@Dependency", "@Default", "@UserDefault", "@Persisted", "@Realm"]
 SEVERITY = {"force_unwrap": "critical", "force_cast": "critical", "force_try": "critical", "implicitly_unwrapped": "high", "empty_catch": "high", "deep_nesting": "medium", "long_parameter_list": "medium", "print_statement": "low", "magic_number": "low"}
 LAYER_PATHS = [(["/network/", "/api/", "/service"], "network"), (["/view/", "/controller/", "/ui/"], "ui"), (["/storage/", "/persistence/", "/cache/", "/keychain"], "persistence"), (["/model/", "/entity/", "/domain/"], "domain")]
 MAX_PARAMS, MAX_DEPTH, LONG_FUNCTION, HIGH_COMPLEXITY = 5, 4, 50, 10
@@ -49,7 +54,7 @@ def smells(nodes: DataFrame) -> DataFrame:
         .when((k == "FunctionCallExpr") & F.col("callee").isin("print", "debugPrint", "dump") & ~F.col("in_debug"), "print_statement")
         .when((k == "FunctionDecl") & (F.size("params") > MAX_PARAMS), "long_parameter_list")
         .when((k == "IfExpr") & (F.col("if_depth") > MAX_DEPTH) & ~F.col("is_else_if"), "deep_nesting")
-        .when((k == "IntegerLiteralExpr") & (number > 2) & ~number.isin(10, 100) & ~_has("line_text", ["let ", "static "]), "magic_number")
+        .when((k == "IntegerLiteralExpr") & (number > 2) & ~number.isin(10, 100) & ~_has(F.coalesce("base", F.lit("")), ["let ", "static "]), "magic_number")
     )
     severity = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
     out = nodes.withColumn("smell", rule).filter("smell is not null")
@@ -59,9 +64,10 @@ def smells(nodes: DataFrame) -> DataFrame:
 def debt(lines: DataFrame) -> DataFrame:
     """(path, line, kind, message, context) of the markers in comment lines; the context is the last function above."""
     trimmed = F.trim("line")
+    upper_ascii = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     name = F.when(F.col("line").contains("("), F.nullif(F.regexp_extract("line", r"func\s+(\w+)", 1), F.lit("")))
-    upper = F.upper(trimmed)
+    upper = F.translate(trimmed, *upper_ascii)  # as long as the line, whatever letters it has
     payload = F.lit(None).cast("string")
     for fragment, _ in reversed(MARKERS):
         at = F.locate(fragment, upper)
@@ -206,16 +212,18 @@ def chunks(files: DataFrame, nodes: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     kind = F.when(F.col("kind") == "InitializerDecl", "initializer").when((F.col("kind") == "FunctionDecl") & F.col("ctx_type").isNotNull() & (F.col("ctx_type_kind") != "ExtensionDecl"), "method").when(F.col("kind") == "FunctionDecl", "function").otherwise(F.lower(F.replace("kind", F.lit("Decl"), F.lit(""))))
     takes = F.transform(F.coalesce("params", F.from_json(F.lit("[]"), "array<struct<label:string,name:string,type:string,has_default:boolean>>")), lambda p: p["name"])
+    body = F.coalesce("body", F.lit(""))
     patterns = F.array_compact(F.array(
-        F.when(F.col("is_async"), "async-await"), F.when(F.col("throws"), "throws"), F.when(F.exists("params", lambda p: p["type"].contains("->")), "callback"),
-        F.when(F.col("text").contains(".subscribe("), "rx"), F.when(_has("text", SINGLETONS), "singleton"),
+        F.when(F.coalesce(F.col("signature"), F.lit("")).contains("async") | body.contains("await "), "async-await"), F.when(F.col("throws"), "throws"),
+        F.when(F.col("kind").isin("FunctionDecl", "InitializerDecl") & _has(F.coalesce("signature", F.lit("")), ["completion", "handler", "callback"]), "callback"),
     ))
+    held = lambda names: F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.col("text"), n))
     return d.select(
         F.concat_ws(":", "path", "pos_line").alias("id"), F.col("path").alias("file"), F.col("pos_line").alias("line"), "end_line", "name", kind.alias("kind"), F.col("ctx_type").alias("parent_type"), "module_path", "signature",
         takes.alias("parameters"), "return_type", F.nullif(F.array_join("doc", "\n"), F.lit("")).alias("doc_comment"), F.coalesce("_calls", none).alias("calls"), F.coalesce("_types", none).alias("uses_types"),
         F.coalesce("inherits", none).alias("conforms_to"), F.when(F.col("kind") == "InitializerDecl", 1).otherwise(F.when(F.col("kind") == "FunctionDecl", F.col("complexity"))).alias("complexity"), (F.col("end_line") - F.col("pos_line") + 1).alias("line_count"),
         "visibility", F.col("text").contains("static let shared").alias("is_singleton"), F.coalesce(F.col("body").contains("!") & ~F.col("body").contains("!="), F.lit(False)).alias("has_smells"), F.col("text").contains("TODO").alias("has_todo"),
-        F.coalesce("attrs", none).alias("attributes"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"(@(?:State|Binding|Published|ObservedObject|StateObject|EnvironmentObject|Environment|AppStorage|FocusState))\b"), 1)).alias("property_wrappers"),
+        held(ATTRIBUTES).alias("attributes"), F.array_sort(held(WRAPPERS)).alias("property_wrappers"),
         keywords(F.col("name")).alias("keywords"), layer(F.col("path"), F.col("name")).alias("layer"), F.coalesce("imports", none).alias("imports"), patterns.alias("patterns"),
     )
 
@@ -229,12 +237,13 @@ def called_by(chunks: DataFrame) -> DataFrame:
 
 
 def embedding_text(chunks: DataFrame) -> Column:
-    """The text that stands for a chunk in the vector index; lists are given up to ten items."""
-    part = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label + ": "), F.array_join(F.slice(c, 1, 10), ", ")))
-    return F.concat_ws("\n", F.concat(F.col("kind"), F.lit(" "), F.concat_ws(".", "parent_type", "name")), F.concat(F.lit("Signature: "), F.col("signature")), F.col("doc_comment"), F.concat(F.lit("Layer: "), F.col("layer")), part("Calls", F.col("calls")), part("Types", F.col("uses_types")), part("Conforms to", F.col("conforms_to")), part("Patterns", F.col("patterns")), part("Keywords", F.col("keywords")))
-
-
-def mermaid(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
-    """One row with a Mermaid graph of a bounded edge table."""
-    line = F.concat(F.lit("    "), T.sanitized(F.col(source)), F.lit(" --> "), T.sanitized(F.col(target)))
-    return edges.select(line.alias("line")).distinct().agg(F.concat_ws("\n", F.lit("graph TD"), F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("text"))
+    """The text that stands for a chunk in the vector index; calls and callers are given up to ten."""
+    part = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label + ": "), F.array_join(c, ", ")))
+    c = F.col
+    purpose = F.coalesce("purpose", "doc_comment") if "purpose" in chunks.columns else c("doc_comment")
+    callers = part("Called by", F.slice("called_by", 1, 10)) if "called_by" in chunks.columns else F.lit(None).cast("string")
+    return F.concat_ws(
+        "\n", F.concat(F.concat_ws(".", "parent_type", "name"), F.lit(" in "), c("module_path")), F.concat(F.lit("Purpose: "), purpose), F.concat(F.lit("Signature: "), c("signature")), part("Calls", F.slice("calls", 1, 10)), callers,
+        part("Domain", c("keywords")), F.concat(F.lit("Layer: "), c("layer")), part("Uses", c("imports")), part("Attributes", c("attributes")), part("PropertyWrappers", c("property_wrappers")), part("Patterns", c("patterns")),
+        F.concat(F.when(c("complexity").isNotNull(), F.concat(F.lit("Complexity: "), c("complexity"), F.lit(", "))).otherwise(""), F.lit("Lines: "), c("line_count")),
+    )

@@ -134,7 +134,7 @@ def delta_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 @register("nearest_rank", "SELECT event_type, s[1] AS least, s[len(s) // 2 + 1] AS p50, s[len(s) * 95 // 100 + 1] AS p95, s[len(s)] AS most FROM (SELECT event_type, list_sort(list(value)) AS s FROM events GROUP BY event_type)")
 def nearest_rank(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.min("value").alias("least"), rank.nearest_rank("value", 50).alias("p50"), rank.nearest_rank("value", 95).alias("p95"), F.max("value").alias("most"))
+    return rank.nearest_ranks(table(spark, d, "events"), "event_type", "value", {"least": 0, "p50": 50, "p95": 95, "most": 100})
 
 
 @register("ring_100", "SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS up FROM events) WHERE up > 5 ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -150,9 +150,9 @@ def queue_position(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("place"), rank.work_ahead("work", ["user_id"], ["ts", "event_id"]).cast("long").alias("ahead"))
 
 
-@register("dead_code", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("dead_code", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def dead_code(spark: SparkSession, d: str) -> DataFrame:
-    return joins.unused(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders"), "c_custkey", "o_custkey")
+    return joins.unused(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select(F.col("doc_id").alias("labelled")), "doc_id", "labelled")
 
 
 @register("semi_join", "SELECT doc_id, lang FROM documents WHERE EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
@@ -185,29 +185,28 @@ def self_join_parent(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn").join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role")), ["conv_id", "turn"])
 
 
-def _nation_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rich = table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("nationkey"))
-    return rich, table(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"))
+def _id_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id")), table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
 
 
-_SETS = "SELECT c_nationkey AS nationkey FROM customer WHERE c_acctbal > 9000 {} SELECT s_nationkey FROM supplier"
+_SETS = "SELECT doc_id AS id FROM documents {} SELECT vec_id FROM embeddings"
 
 
 @register("set_union", _SETS.format("UNION"))
 def set_union(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _nation_sets(spark, d)
+    a, b = _id_sets(spark, d)
     return a.union(b).distinct()
 
 
 @register("set_intersect", _SETS.format("INTERSECT"))
 def set_intersect(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _nation_sets(spark, d)
+    a, b = _id_sets(spark, d)
     return a.intersect(b)
 
 
 @register("set_except", _SETS.format("EXCEPT"))
 def set_except(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _nation_sets(spark, d)
+    a, b = _id_sets(spark, d)
     return a.subtract(b)
 
 
@@ -268,16 +267,17 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
     return _event_edges(spark, d).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-_TRADE = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 49"
+_TRADE = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
 
 
 @register("degree_metrics", f"WITH e AS ({_TRADE}) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node")
 def degree_metrics(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter("l_quantity > 49").select("l_suppkey", "l_orderkey")
+    # pairs are made distinct as soon as a key is known by its nation, before the next join
+    nation = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("dst"))
+    o = table(spark, d, "orders").join(nation, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "dst")
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
-    return graph.degrees(li.join(s, "l_suppkey").join(o, "l_orderkey").join(c, "c_custkey").select("src", "dst").distinct())
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").join(s, "l_suppkey").select("src", "l_orderkey")
+    return graph.degrees(li.join(o, "l_orderkey").select("src", "dst").distinct())
 
 
 def _geo_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -304,18 +304,24 @@ def inherit_chain(spark: SparkSession, d: str) -> DataFrame:
     return graph.ancestors(table(spark, d, "documents").filter("doc_id > 0").select(F.col("doc_id").alias("child"), F.expr("doc_id div 2").alias("parent")))
 
 
-_COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
+_PAIRS = "SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0"
+_RANKED = "SELECT query, vec_id, score FROM ({}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= {}"
 
 
-@register("knn", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def _queries(e: DataFrame) -> DataFrame:
+    return e.filter("vec_id % 100 = 0")
+
+
+@register("knn", _RANKED.format(_PAIRS, 10))
 def knn(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return search.knn(e, "vec_id", "embedding", search.vector_of(e, "vec_id", "embedding", 0), 10).select("vec_id", F.round("score", 6).alias("score"))
+    return search.knn_many(e, _queries(e), "vec_id", "embedding", 10)
 
 
-@register("similar_to", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings WHERE vec_id <> 0 ORDER BY {_COS} DESC, vec_id LIMIT 10")
+@register("similar_to", _RANKED.format(_PAIRS + " AND q.vec_id <> e.vec_id", 10))
 def similar_to(spark: SparkSession, d: str) -> DataFrame:
-    return search.similar_to(table(spark, d, "embeddings"), "vec_id", "embedding", 0, 10).select("vec_id", F.round("score", 6).alias("score"))
+    e = table(spark, d, "embeddings")
+    return search.knn_many(e, _queries(e), "vec_id", "embedding", 10, itself=False)
 
 
 @register("l2_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 4) AS total FROM embeddings")
@@ -323,13 +329,15 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(search.normalized(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@register("hybrid", f"WITH c AS (SELECT vec_id, {_COS} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 100) SELECT vec_id, round(CASE WHEN contains(text, 'tion') THEN least(s + 0.2, 1.0) ELSE s END, 6) AS score FROM c JOIN documents ON doc_id = vec_id ORDER BY CASE WHEN contains(text, 'tion') THEN least(s + 0.2, 1.0) ELSE s END DESC, vec_id LIMIT 10")
+_NEAR = _RANKED.format(_PAIRS, 100)
+
+
+@register("hybrid", _RANKED.format(f"SELECT query, vec_id, round(CASE WHEN contains(text, 'tion') THEN least(score + 0.2, 1.0) ELSE score END, 6) AS score FROM ({_NEAR}) JOIN documents ON doc_id = vec_id", 10))
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    near = search.knn(e, "vec_id", "embedding", search.vector_of(e, "vec_id", "embedding", 0), 100)
-    j = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text").join(F.broadcast(near), "vec_id")
-    s = j.select("vec_id", search.boosted(F.col("score"), F.col("text").contains("tion").cast("int")).alias("s"))
-    return s.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
+    near = search.knn_many(e, _queries(e), "vec_id", "embedding", 100)
+    j = near.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").contains("tion").cast("int").alias("hit")), "vec_id")
+    return rank.top_per_key(j.select("query", "vec_id", F.round(search.boosted(F.col("score"), F.col("hit")), 6).alias("score")), ["query"], 10, F.desc("score"), F.col("vec_id"))
 
 
 @register("pattern_only", "SELECT doc_id, CASE WHEN regexp_matches(text, 'th[a-z]+ing') THEN 0.7 ELSE 0.5 END::DOUBLE AS score FROM documents")

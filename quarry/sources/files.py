@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,6 +49,21 @@ def matching(files: DataFrame, fragment: str) -> DataFrame:
     return files.filter(F.col("path").contains(fragment) | (F.col("file_name") == fragment))
 
 
+def file_at(files: DataFrame, path: str) -> DataFrame:
+    """The file of exactly this path."""
+    return files.filter(F.col("path") == path)
+
+
+def dependency_root(path: str, levels: int = 5) -> str | None:
+    """The nearest folder, from *path* up to *levels* parents, that holds a dependency file; a look at the driver's file system."""
+    here = os.path.abspath(path)
+    for _ in range(levels + 1):
+        if any(os.path.exists(os.path.join(here, n)) for n in ("Podfile", "Package.swift", "Cartfile")):
+            return here
+        here = os.path.dirname(here)
+    return None
+
+
 def under(files: DataFrame, prefix: str) -> DataFrame:
     """Files under a folder, given from the root or from within."""
     p = prefix.strip("/")
@@ -87,13 +103,32 @@ def nodes(files: DataFrame, faithful: bool = True) -> DataFrame:
 
 
 def podfile(files: DataFrame) -> DataFrame:
-    """(path, target, name, version) of Podfile entries; the target is the block around them."""
-    rows = T.lines(files, "path", "text").withColumn("line", F.trim("line")).filter(~F.col("line").startswith("#"))
+    """(path, target, name, subspec, version, source, is_test) of the pods of a Podfile, one row for each name and subspec.
+
+    The words of a line are read first: a call and its quoted arguments. A block opens with `do` and closes with `end`;
+    a pod belongs to the innermost target around it, none after its end.
+    """
+    rows = T.lines(files, "path", "text").withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).filter("line <> ''")
+    call = F.regexp_extract("line", r"^[a-z_]+", 0)
+    quoted = F.regexp_extract_all("line", F.lit("(\"[^\"]*\"|'[^']*')"), 1)
+    arguments = F.transform(quoted, lambda x: F.substring(x, 2, 1 << 20))
+    arguments = F.transform(arguments, lambda x: F.regexp_replace(x, "[\"']$", ""))
+    rows = rows.withColumn("call", call).withColumn("args", arguments)
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.nullif(F.regexp_extract("line", r"^target\s+['\"]([^'\"]+)['\"]", 1), F.lit(""))
-    rows = rows.withColumn("target", F.last(opened, ignorenulls=True).over(w))
-    name, version = F.regexp_extract("line", r"^pod\s+['\"]([^'\"]+)['\"]", 1), F.regexp_extract("line", r"^pod\s+['\"][^'\"]+['\"]\s*,\s*['\"]([^'\"]+)['\"]", 1)
-    return rows.select("path", "target", name.alias("name"), F.nullif(version, F.lit("")).alias("version")).filter("name <> ''").dropDuplicates(["path", "target", "name"])
+    opens, closes = F.col("line").rlike(r"\bdo(\s*\|.*\|)?$"), F.col("line") == "end"
+    rows = rows.withColumn("depth", F.sum(opens.cast("int") - closes.cast("int")).over(w))
+    # a target is around a line if it opened at a depth that has not been left since
+    mark = F.when((F.col("call") == "target") & opens, F.struct(F.col("depth").alias("d"), F.get("args", F.lit(0)).alias("name")))
+    rows = rows.withColumn("opened", F.collect_list(F.struct("line_no", mark.alias("t"), F.col("depth").alias("at"))).over(w))
+    around = F.aggregate("opened", F.array().cast("array<struct<d:bigint,name:string>>"), lambda acc, x: F.concat(F.filter(acc, lambda y: y["d"] <= x["at"]), F.when(x["t"].isNotNull(), F.array(x["t"])).otherwise(F.array().cast("array<struct<d:bigint,name:string>>"))))
+    pods = rows.filter("call = 'pod' and size(args) > 0").withColumn("target", F.try_element_at(around, F.lit(-1))["name"])
+    full, version = F.get("args", F.lit(0)), F.get("args", F.lit(1))
+    source = F.when(F.col("line").contains(":git"), "git").when(F.col("line").contains(":path"), "path").otherwise("registry")
+    found = pods.select(
+        "path", "target", F.substring_index(full, "/", 1).alias("name"), F.when(full.contains("/"), F.regexp_replace(full, "^[^/]*/", "")).alias("subspec"),
+        F.when(source == "registry", version).alias("version"), source.alias("source"), F.coalesce(F.col("target").rlike("Tests?$"), F.lit(False)).alias("is_test"), "line_no",
+    )
+    return found.groupBy("path", "target", "name", "subspec").agg(F.min_by(F.struct("version", "source", "is_test"), "line_no").alias("f")).select("path", "target", "name", "subspec", "f.*")
 
 
 def package_manifest(files: DataFrame) -> DataFrame:
@@ -111,11 +146,30 @@ def cartfile(files: DataFrame) -> DataFrame:
 
 
 def build_log(files: DataFrame) -> DataFrame:
-    """(path, file, line, severity, message) of the diagnostics in build output."""
+    """(path, file, line, column, severity, message) of the diagnostics in build output; the column may be missing."""
+    rows = T.lines(files, "path", "text")
+    p = r"^(.+?):(\d+):(?:(\d+):)?\s*(error|warning|note):\s*(.*)$"
+    part = [F.regexp_extract("line", p, i) for i in range(1, 6)]
+    return rows.filter(F.col("line").rlike(p)).select("path", part[0].alias("file"), part[1].cast("int").alias("line"), F.nullif(part[2], F.lit("")).cast("int").alias("column"), part[3].alias("severity"), part[4].alias("message"))
+
+
+def test_log(files: DataFrame) -> DataFrame:
+    """(path, line_no, test, status) of a test run's output: passed, failed or skipped by its marks and words, the name without them and without its time."""
     rows = T.lines(files, "path", "text")
-    p = r"^(.+?):(\d+):(?:\d+:)?\s*(error|warning|note):\s*(.*)$"
-    part = [F.regexp_extract("line", p, i) for i in range(1, 5)]
-    return rows.filter(F.col("line").rlike(p)).select("path", part[0].alias("file"), part[1].cast("int").alias("line"), part[2].alias("severity"), part[3].alias("message"))
+    line = F.col("line")
+    status = F.when(line.contains("✔") | line.contains("passed"), "passed").when(line.contains("✘") | (line.contains("failed") & ~line.contains("tests failed")), "failed").when(line.contains("skipped"), "skipped")
+    name = line
+    for word in ("✔", "✘", "Test Case", "passed", "failed"):
+        name = F.replace(name, F.lit(word), F.lit(""))
+    name = F.trim(F.regexp_replace(F.trim(name), r"\s*\([^)]+\)\s*$", ""))
+    return rows.select("path", "line_no", name.alias("test"), status.alias("status")).filter("status is not null and test <> ''")
+
+
+def test_summary(results: DataFrame) -> DataFrame:
+    """One row: the numbers of passed, failed and skipped tests, all, and whether none was found."""
+    s = F.col("status")
+    n = results.agg(*[F.count_if(s == x).alias(f"n_{x}") for x in ("passed", "failed", "skipped")], F.count("*").alias("n"))
+    return n.withColumn("none_found", F.col("n") == 0)
 
 
 def baseline(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,43 +1,100 @@
-"""Reader of Xcode project files: targets and the sources they build."""
+"""Reader of Xcode project files: targets and the sources they build.
+
+A project file is a nested property list. A small reader turns each object of it into rows (id, key, value); targets,
+phases, build files and references are then equi-joins over these rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import text as T
 
-_ID = "([A-F0-9]{24})"
+_PART = re.compile(r'/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\])*"|[{}()=;,]|[^\s{}()=;,"/]+|/', re.DOTALL)
+
+
+def parts(text: str) -> list[str]:
+    """The words and signs of a property list, without comments; strings without their quotes."""
+    out = []
+    for m in _PART.finditer(text):
+        p = m[0]
+        if not p.startswith(("/*", "//")):
+            out.append(re.sub(r"\\(.)", r"\1", p[1:-1]) if p[0] == '"' else p)
+    return out
+
+
+def parse(words: list[str]) -> object:
+    """The value that *words* write: dictionaries, lists and strings. What is cut off ends where the words do."""
+    stack: list = []
+    value: object = None
+    key: str | None = None
+    keys: list = []
+    for w in words:
+        if w in ("{", "("):
+            stack.append({} if w == "{" else [])
+            keys.append(key)
+            key = None
+            continue
+        if w in ("}", ")") and stack:
+            value, key = stack.pop(), keys.pop()
+        elif w in ("=", ";", ","):
+            continue
+        elif stack and isinstance(stack[-1], dict) and key is None:
+            key = w
+            continue
+        else:
+            value = w
+        if stack and isinstance(stack[-1], dict) and key is not None:
+            stack[-1][key], key = value, None
+        elif stack and isinstance(stack[-1], list):
+            stack[-1].append(value)
+    return value if not stack else stack[0]
+
+
+def objects(projects: DataFrame) -> DataFrame:
+    """(path, id, key, place, value): a row for each value of each object; the entries of a list have their place."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
+                root = parse(parts(text or ""))
+                found = root.get("objects", {}) if isinstance(root, dict) else {}
+                for name, fields in (found.items() if isinstance(found, dict) else ()):
+                    for key, value in (fields.items() if isinstance(fields, dict) else ()):
+                        rows += [(path, name, key, i, v) for i, v in enumerate(value if isinstance(value, list) else [value]) if isinstance(v, str)]
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "id", "key", "place", "value"])
 
-def _section(name: str) -> Column:
-    """The text between the marks of one section; empty where it is missing."""
-    return F.regexp_extract("text", rf"(?s)/\* Begin {name} section \*/(.*?)/\* End {name} section \*/", 1)
+    return projects.select("path", "text").mapInArrow(work, "path string, id string, key string, place int, value string")
 
 
-def _entries(projects: DataFrame, section: str, pattern: str, *names: str) -> DataFrame:
-    """A row (path, *names) for each match of *pattern* in a section, a column for each of its groups."""
-    found = projects.select("path", _section(section).alias("s"))
-    parts = [F.regexp_extract_all("s", F.lit(pattern), i + 1).alias(n) for i, n in enumerate(names)]
-    return found.select("path", *parts).select("path", F.inline(F.arrays_zip(*names)))
+def _of(rows: DataFrame, kind: str, key: str, name: str, value: str) -> DataFrame:
+    """(path, *name*, *value*): the values that objects of a kind have under a key."""
+    ids = rows.filter((F.col("key") == "isa") & (F.col("value") == kind)).select("path", "id")
+    return rows.filter(F.col("key") == key).join(ids, ["path", "id"], "left_semi").select("path", F.col("id").alias(name), F.col("value").alias(value))
 
 
-def target_files(projects: DataFrame) -> DataFrame:
+def target_files(projects: DataFrame, suffix: str = ".swift") -> DataFrame:
     """(path, target, file, file_name) of the sources that each target of a project builds.
 
-    *projects* has path and text. A target names its phase of sources, the phase its build files, and a build
-    file its file reference, whose path counts; without one the name in the phase does. All are equi-joins.
+    A target names its phases, a phase of sources its build files, and a build file its reference, whose path counts, else its name.
     """
-    targets = _entries(projects, "PBXNativeTarget", rf"(?s){_ID} /\* ([^*]+) \*/ = \{{.*?buildPhases = \((.*?)\);", "id", "target", "phases")
-    targets = targets.select("path", "target", F.nullif(F.regexp_extract("phases", rf"{_ID} /\* Sources \*/", 1), F.lit("")).alias("phase"))
-    phases = _entries(projects, "PBXSourcesBuildPhase", rf"{_ID} /\* Sources \*/ = \{{[^}}]*files = \(([^)]+)\)", "phase", "listed")
-    built = [F.regexp_extract_all("listed", F.lit(rf"{_ID} /\* ([^*]+\.swift) in Sources \*/"), i + 1).alias(n) for i, n in enumerate(("build", "label"))]
-    phases = phases.select("path", "phase", *built).select("path", "phase", F.inline(F.arrays_zip("build", "label")))
-    builds = _entries(projects, "PBXBuildFile", rf"{_ID} /\* [^*]+ \*/ = \{{[^}}]*fileRef = {_ID}", "build", "ref")
-    refs = _entries(projects, "PBXFileReference", rf'{_ID} /\* [^*]+ \*/ = \{{[^}}]*\bpath = "?([^";]+)"?[^}}]*\}}', "ref", "ref_path")
-    rows = targets.join(phases, ["path", "phase"]).join(builds, ["path", "build"], "left").join(refs, ["path", "ref"], "left")
-    file = F.coalesce("ref_path", F.trim("label"))
-    return rows.select("path", "target", file.alias("file"), T.last_part(file).alias("file_name"))
+    rows = objects(projects)
+    names = _of(rows, "PBXNativeTarget", "name", "target_id", "target")
+    phases = _of(rows, "PBXNativeTarget", "buildPhases", "target_id", "phase")
+    built = _of(rows, "PBXSourcesBuildPhase", "files", "phase", "build")
+    refs = _of(rows, "PBXBuildFile", "fileRef", "build", "ref")
+    at, named = _of(rows, "PBXFileReference", "path", "ref", "at"), _of(rows, "PBXFileReference", "name", "ref", "named")
+    d = names.join(phases, ["path", "target_id"]).join(built, ["path", "phase"]).join(refs, ["path", "build"]).join(at, ["path", "ref"], "left").join(named, ["path", "ref"], "left")
+    file = F.coalesce("at", "named")
+    return d.select("path", "target", file.alias("file"), T.last_part(file).alias("file_name")).filter(F.col("file").endswith(suffix))
 
 
 def targets_of_files(built: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import shared_folder
+
 
 def tumbling(events: DataFrame, time: str, width: str, *by: str, slide: str | None = None) -> DataFrame:
     """window_start, the keys and n for each window."""
@@ -26,8 +27,7 @@ def stream_tumbling(spark: SparkSession, path: str, time: str, width: str, delay
 
     The stream's checkpoint and its output table are in the shared checkpoint folder.
     """
-    folder = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-stream-")
-    root = f"{folder}/stream-{uuid.uuid4().hex}"
+    root = f"{checkpoint or shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder_of_files = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()

@@ -41,7 +41,7 @@ public class UserService: BaseService, Codable, LoadDelegate {
     init(store: Store) { self.store = store }
 
     // TODO: page the result */
-    func fetchUser(id: Int, done: (Int) -> Void) async throws -> User? {
+    func fetchUser(id: Int, completion: (Int) -> Void) async throws -> User? {
         guard id > 0 else { return nil }
         let r = try await client.get("/api/user").parse()
         switch r { case .a: break
@@ -93,7 +93,7 @@ def test_chunks(service):
     rows = {r.name: r for r in c.collect()}
     assert set(rows) == {"UserService", "init", "fetchUser"}
     m = rows["fetchUser"]
-    assert (m.kind, m.parent_type, m.layer, m.module_path, m.return_type, m.parameters) == ("method", "UserService", "network", "App/Network", "User?", ["id", "done"])
+    assert (m.kind, m.parent_type, m.layer, m.module_path, m.return_type, m.parameters) == ("method", "UserService", "network", "App/Network", "User?", ["id", "completion"])
     assert {"get", "parse", "parseResponse"} <= set(m.calls) and "NetworkManager" in m.uses_types
     assert {"async-await", "throws", "callback"} <= set(m.patterns)
     assert rows["UserService"].property_wrappers == ["@Published"] and rows["init"].kind == "initializer"
