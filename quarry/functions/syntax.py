@@ -479,7 +479,7 @@ class Source:
                 "parent_text": line_text if up is None or up["kind"] in BODIES else up["text"], "line_text": line_text, "in_debug": debug[a],
                 "ctx_func": funcs[-1]["name"] if funcs else None, "func_id": funcs[-1]["node_id"] if funcs else None, "outer_func_id": funcs[0]["node_id"] if funcs else None,
                 "ctx_type": kinds[-1]["name"] if kinds else None, "ctx_type_kind": kinds[-1]["kind"] if kinds else None,
-                "visibility": next((m for m in mods if m in VISIBILITY), "internal"), "doc": [c for c in first.comments if c.startswith(("///", "/**"))],
+                "visibility": next((m for m in mods if m in VISIBILITY), "internal"), "doc": [c for c in first.comments if c.startswith(("///", "/**"))], "comments": first.comments,
                 "if_depth": sum(r["kind"] == "IfExpr" and not r.get("is_else_if") for r in stack) + (f["kind"] == "IfExpr" and not f.get("is_else_if")),
                 "complexity": 1 + branch[b] - (branch[a - 1] if a else 0), **f,
             }

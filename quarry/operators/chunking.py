@@ -125,8 +125,8 @@ def _clusters(members: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
     names = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", T.last_part(F.col("path")).alias("name")))), lambda x: x["name"]).alias("_names"))
     s = members.join(summaries.select(F.col("file").alias("path"), "imports", "patterns", "attributes", "layer"), "path")
     per = s.groupBy(key).agg(F.count("*").alias("_n"), _joined("patterns"), _joined("attributes"), F.min_by("layer", "path").alias("layer"))
-    imports = s.select(key, F.explode("imports").alias("module")).filter(~F.col("module").isin(STANDARD)).groupBy(key, "module").agg(F.count("*").alias("_m"))
-    imports = imports.join(per.select(key, "_n"), key).groupBy(key).agg(F.array_sort(F.collect_list("module")).alias("_all"), F.array_sort(F.collect_list(F.when(F.col("_m") >= F.greatest(F.lit(1), F.floor(F.col("_n") / 2)), F.col("module")))).alias("_shared"))
+    imports = s.select(key, F.explode("imports").alias("_module")).filter(~F.col("_module").isin(STANDARD)).groupBy(key, "_module").agg(F.count("*").alias("_m"))
+    imports = imports.join(per.select(key, "_n"), key).groupBy(key).agg(F.array_sort(F.collect_list("_module")).alias("_all"), F.array_sort(F.collect_list(F.when(F.col("_m") >= F.greatest(F.lit(1), F.floor(F.col("_n") / 2)), F.col("_module")))).alias("_shared"))
     none = F.array().cast("array<string>")
     d = n.join(names, key).join(per, key, "left").join(imports, key, "left")
     named = F.concat(F.array_join("_names", ", "), F.when(F.col("n_files") > 5, F.concat(F.lit("... ("), F.col("n_files"), F.lit(" files)"))).otherwise(""))

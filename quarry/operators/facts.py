@@ -93,6 +93,13 @@ def references(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind").isin("MemberAccessExpr", "FunctionCallExpr")).withColumn("reference", kind).filter("reference is not null").select("path", F.col("pos_line").alias("line"), F.col("text").alias("symbol"), F.col("reference").alias("kind"), F.col("ctx_func").alias("context"))
 
 
+def reference_files(nodes: DataFrame) -> DataFrame:
+    """(path, imports, n_references) of files that import something or touch global state."""
+    i = imports(nodes).groupBy("path").agg(F.array_sort(F.collect_set("module")).alias("imports"))
+    r = references(nodes).groupBy("path").agg(F.count("*").alias("n_references"))
+    return i.join(r, "path", "full").na.fill(0, ["n_references"])
+
+
 def type_definitions(nodes: DataFrame) -> DataFrame:
     """(name, kind, path, line, visibility, conformances, superclass); raw-value types are no conformances."""
     conformances = F.filter("inherits", lambda x: ~x.isin(RAW_TYPES))
@@ -217,12 +224,13 @@ def chunks(files: DataFrame, nodes: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.col("signature"), F.lit("")).contains("async") | body.contains("await "), "async-await"), F.when(F.col("throws"), "throws"),
         F.when(F.col("kind").isin("FunctionDecl", "InitializerDecl") & _has(F.coalesce("signature", F.lit("")), ["completion", "handler", "callback"]), "callback"),
     ))
-    held = lambda names: F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.col("text"), n))
+    raw = F.concat_ws("\n", F.array_join("comments", "\n"), "text")  # comments before a declaration count as part of it
+    held = lambda names: F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(raw, n))
     return d.select(
         F.concat_ws(":", "path", "pos_line").alias("id"), F.col("path").alias("file"), F.col("pos_line").alias("line"), "end_line", "name", kind.alias("kind"), F.col("ctx_type").alias("parent_type"), "module_path", "signature",
         takes.alias("parameters"), "return_type", F.nullif(F.array_join("doc", "\n"), F.lit("")).alias("doc_comment"), F.coalesce("_calls", none).alias("calls"), F.coalesce("_types", none).alias("uses_types"),
         F.coalesce("inherits", none).alias("conforms_to"), F.when(F.col("kind") == "InitializerDecl", 1).otherwise(F.when(F.col("kind") == "FunctionDecl", F.col("complexity"))).alias("complexity"), (F.col("end_line") - F.col("pos_line") + 1).alias("line_count"),
-        "visibility", F.col("text").contains("static let shared").alias("is_singleton"), F.coalesce(F.col("body").contains("!") & ~F.col("body").contains("!="), F.lit(False)).alias("has_smells"), F.col("text").contains("TODO").alias("has_todo"),
+        "visibility", raw.contains("static let shared").alias("is_singleton"), F.coalesce(F.col("body").contains("!") & ~F.col("body").contains("!="), F.lit(False)).alias("has_smells"), raw.contains("TODO").alias("has_todo"),
         held(ATTRIBUTES).alias("attributes"), F.array_sort(held(WRAPPERS)).alias("property_wrappers"),
         keywords(F.col("name")).alias("keywords"), layer(F.col("path"), F.col("name")).alias("layer"), F.coalesce("imports", none).alias("imports"), patterns.alias("patterns"),
     )

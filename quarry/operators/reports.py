@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import text as T
 
-# Severities in order; advice for compiler messages in order of precedence.
+# Severities in order.
 SEVERITIES = ["critical", "high", "medium", "low"]
 
 
@@ -53,22 +53,17 @@ def protocol_clusters(types: DataFrame) -> DataFrame:
     return found.filter((F.size("conformers") >= 2) & (F.col("n_files") >= 2))
 
 
+def symbols_used(nodes: DataFrame) -> DataFrame:
+    """(name): every name that code mentions: references, types, members and what members are taken of, parents."""
+    named = nodes.filter("kind in ('TypeReference', 'DeclReferenceExpr')").select("name")
+    members = nodes.filter("kind = 'MemberAccessExpr'").select(F.explode(F.array("member", "base")).alias("name"))
+    parents = nodes.filter("inherits is not null").select(F.explode("inherits").alias("name"))
+    return named.union(members).union(parents).filter("name is not null").distinct()
+
+
 def unused_types(types: DataFrame, nodes: DataFrame) -> DataFrame:
     """Types that nothing names, but for views, cells, controllers and delegates."""
-    named = nodes.filter("kind in ('TypeReference', 'DeclReferenceExpr')").select("name").union(nodes.filter("inherits is not null").select(F.explode("inherits"))).distinct()
-    return types.filter(~F.col("name").rlike("(ViewController|Cell|View|Delegate)$") & (F.col("kind") != "extension")).join(named, "name", "left_anti")
-
-
-def fixes(smells: DataFrame) -> DataFrame:
-    """A suggestion with its confidence for each smell that has one; (path, line, kind, fix, replacement, confidence)."""
-    k, c = F.col("kind"), F.col("code")
-    value = F.regexp_replace(c, "!$", "")
-    fix = F.when(k == "force_unwrap", "guard let").when(k == "force_cast", "conditional cast").when(k == "force_try", "do-catch").when(k == "empty_catch", "handle the error").when(k == "implicitly_unwrapped", "optional type")
-    new = (
-        F.when(k == "force_unwrap", F.concat(F.lit("guard let value = "), value, F.lit(" else { return }"))).when(k == "force_cast", F.replace(c, F.lit("as!"), F.lit("as?")))
-        .when(k == "force_try", F.concat(F.lit("do { "), F.replace(c, F.lit("try!"), F.lit("try")), F.lit(" } catch { print(error) }"))).when(k == "empty_catch", F.lit("catch { print(error) }")).when(k == "implicitly_unwrapped", F.concat(value, F.lit("?")))
-    )
-    return smells.withColumn("fix", fix).filter("fix is not null").select("path", "line", "kind", "fix", new.alias("replacement"), F.when(k.isin("force_unwrap", "force_cast", "force_try"), "medium").otherwise("low").alias("confidence"))
+    return types.filter(~F.col("name").rlike("(ViewController|Cell|View|Delegate)$") & (F.col("kind") != "extension")).join(symbols_used(nodes), "name", "left_anti")
 
 
 def rescan(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quarry.plans import tables  # noqa: F401  registers its queries
+    from quarry.plans import source, tables  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Query]:

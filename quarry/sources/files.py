@@ -19,7 +19,7 @@ EXCLUDED = ["Pods", ".build", "DerivedData", "Carthage", "xcodeproj", "xcworkspa
 NODES = (
     "path string, node_id int, parent_id int, end_id int, kind string, pos_line int, end_line int, name string, text string, line_text string, in_debug boolean, callee string, base string, "
     "member string, modifiers array<string>, attrs array<string>, inherits array<string>, params array<struct<label:string,name:string,type:string,has_default:boolean>>, return_type string, "
-    "is_async boolean, throws boolean, bang boolean, literal string, doc array<string>, visibility string, parent_kind string, parent_text string, ctx_func string, func_id int, outer_func_id int, "
+    "is_async boolean, throws boolean, bang boolean, literal string, doc array<string>, comments array<string>, visibility string, parent_kind string, parent_text string, ctx_func string, func_id int, outer_func_id int, "
     "ctx_type string, ctx_type_kind string, if_depth int, is_else_if boolean, complexity int, signature string, body string"
 )
 _NAMES = [c.split()[0] for c in NODES.split(", ")]

@@ -15,11 +15,13 @@ PROJECT = f"""
 /* End PBXFileReference section */
 /* Begin PBXNativeTarget section */
 \t{X} /* App */ = {{
+\t\tisa = PBXNativeTarget;
 \t\tbuildPhases = (
 \t\t\t{P} /* Sources */,
 \t\t);
 \t}};
 \t{Y} /* AppTests */ = {{
+\t\tisa = PBXNativeTarget;
 \t\tbuildPhases = (
 \t\t\t{Q} /* Sources */,
 \t\t);
