@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry import index as vectors
 from quarry.operators import audits, chunking, facts, fixing, frameworks, graph, refactoring, reports, summary
+from quarry.session import cut
 from quarry.sources import files as sources
 from quarry.sources import xcode
 
@@ -53,11 +54,13 @@ class Project:
 
     def rescan(self) -> dict:
         """Reads the tree again; the numbers of new, updated, unchanged and deleted files."""
-        old = self.__dict__.get("files")
-        new = sources.source_files(self.spark, self.root, self.include_tests).persist()
-        counts = reports.rescan(old if old is not None else new.limit(0), new).first().asDict()
+        old = self.__dict__.get("hashes")
+        if "files" in self.__dict__:
+            self.files.unpersist(blocking=True)  # or Spark would take the kept rows for the tree as it is now
+        self.files = sources.source_files(self.spark, self.root, self.include_tests).persist()
+        self.hashes = cut(self.files.select("path", "content_hash"))
+        counts = reports.rescan(old if old is not None else self.hashes.limit(0), self.hashes).first().asDict()
         self.invalidate()
-        self.files = new
         return counts
 
     def invalidate(self) -> dict:

@@ -45,6 +45,8 @@ class Token:
     comments: list[str] = field(default_factory=list)
 
 
+#: Tokens between angle brackets that are looked at.
+GENERIC = 60
 #: Interpolations within one another that are followed; what lies deeper ends the text.
 NESTED = 50
 
@@ -193,6 +195,9 @@ class Source:
             while self.at(i) in ("?", "!") and i and not self.t[i].spaced:
                 i -= 1
             x = self.at(i)
+            if x == ">" and (g := self.generic_start(i)) is not None:
+                i = g
+                continue
             if x in (")", "]") and i in self.pair:
                 o = self.pair[i]
                 callable_before = o and not self.t[o].spaced and (self.names(o - 1) or self.at(o - 1) in (")", "]", "?", "!"))
@@ -210,6 +215,31 @@ class Source:
                 return i - 1
             return i
 
+    def generic_start(self, i: int) -> int | None:
+        """The name before the angle brackets that close at token *i*, if these hold types only."""
+        depth = 0
+        for j in range(i, max(-1, i - GENERIC), -1):
+            x = self.at(j)
+            depth += (x == ">") - (x == "<")
+            if not depth:
+                return j - 1 if j and self.names(j - 1) and not self.t[j].spaced else None
+            if self.t[j].kind != "word" and x not in ("<", ">", ",", ".", "?", "[", "]", ":", "&", "(", ")", "->"):
+                return None
+        return None
+
+    def value_end(self, i: int) -> int:
+        """Last token of the value after the equals sign *i*: to the end of its line, or of the chain that goes on after it."""
+        e = i
+        while e + 1 < len(self.t):
+            n = e + 1
+            x = self.at(n)
+            if x in ("}", ")", "]", ";", ",", "else") or (x == "{" and n in self.owned):
+                break
+            if e != i and "\n" in self.s[self.t[e].end : self.t[n].start] and x not in (".", "?", ":", "??", "&&", "||") and self.at(e) not in ("=", "??", "&&", "||", "+"):
+                break
+            e = self.pair.get(n, n) if x in _CLOSER else n
+        return e
+
     def before(self, i: int) -> tuple[int, list[str], list[str]]:
         """Where the modifiers and attributes before a declaring keyword begin, and both lists."""
         mods: list[str] = []
@@ -347,6 +377,8 @@ class Source:
         if computed:
             self.owned.add(e + 1)
             e = self.pair[e + 1]
+        elif self.at(e + 1) == "=":
+            e = self.value_end(e + 1)
         self.add("VariableDecl", a, e, name=self.at(i + 1), modifiers=[*mods, self.at(i)], attrs=attrs, return_type=kind, literal="computed" if computed else "stored")
 
     def decision(self, i: int) -> None:

@@ -227,7 +227,7 @@ def chunks(files: DataFrame, nodes: DataFrame) -> DataFrame:
     raw = F.concat_ws("\n", F.array_join("comments", "\n"), "text")  # comments before a declaration count as part of it
     held = lambda names: F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(raw, n))
     return d.select(
-        F.concat_ws(":", "path", "pos_line").alias("id"), F.col("path").alias("file"), F.col("pos_line").alias("line"), "end_line", "name", kind.alias("kind"), F.col("ctx_type").alias("parent_type"), "module_path", "signature",
+        F.concat_ws(":", "path", "pos_line").alias("id"), F.col("path").alias("file"), F.col("pos_line").alias("line"), "end_line", "name", kind.alias("kind"), F.when(~F.col("ctx_type_kind").eqNullSafe("ExtensionDecl"), F.col("ctx_type")).alias("parent_type"), "module_path", "signature",
         takes.alias("parameters"), "return_type", F.nullif(F.array_join("doc", "\n"), F.lit("")).alias("doc_comment"), F.coalesce("_calls", none).alias("calls"), F.coalesce("_types", none).alias("uses_types"),
         F.coalesce("inherits", none).alias("conforms_to"), F.when(F.col("kind") == "InitializerDecl", 1).otherwise(F.when(F.col("kind") == "FunctionDecl", F.col("complexity"))).alias("complexity"), (F.col("end_line") - F.col("pos_line") + 1).alias("line_count"),
         "visibility", raw.contains("static let shared").alias("is_singleton"), F.coalesce(F.col("body").contains("!") & ~F.col("body").contains("!="), F.lit(False)).alias("has_smells"), raw.contains("TODO").alias("has_todo"),

@@ -1,6 +1,6 @@
 """Reports over facts of small inputs."""
 
-from quarry.operators import facts, reports
+from quarry.operators import facts, fixing, reports
 from quarry.sources import files
 
 CODE = "protocol P {}\nclass A: P {\n    func f() { x!.y(); Account.sharedInstance().z() }\n}\n"
@@ -13,7 +13,7 @@ def test_files_and_smells(spark):
     assert [(r.path, r.n_god, r.n_smells, r.n_singletons) for r in reports.hotspots(facts.function_metrics(n), s, facts.references(n)).collect()] == [("a.swift", 0, 1, 4)]
     assert [(r.protocol, r.conformers) for r in reports.protocol_clusters(t).collect()] == [("P", ["A", "B"])]
     assert [r.name for r in reports.unused_types(t, n).collect()] == ["B"]
-    assert {(r.kind, r.confidence) for r in reports.fixes(s).collect()} == {("force_unwrap", "medium"), ("force_try", "medium")}
+    assert {(r.kind, r.confidence) for r in fixing.suggestions(s, f).collect()} == {("force_unwrap", "low"), ("force_try", "medium")}
     assert [r.kind for r in reports.smell_order(s).collect()] == ["force_unwrap", "force_try"]
     assert {(r.kind, r.severity, r.n) for r in reports.counts(s, "kind", "severity").collect()} == {("force_unwrap", None, 1), ("force_try", None, 1), (None, "critical", 2), (None, None, 2)}
 
