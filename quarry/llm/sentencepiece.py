@@ -7,10 +7,10 @@ import importlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +135,10 @@ def build(model: Model) -> object:
     return t
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def has_free_words(model: Model) -> bool:
     """Whether no piece has a mark after another character, and the text is taken as it is: a text's ids should be those of its words."""
     plain = not model.charsmap and not model.strip_extra and model.escape and model.dummy_prefix
@@ -148,7 +152,7 @@ class Codec:
     short cut: the whole text's ids by the reference library must be the same, or the whole text is encoded again.
     """
 
-    KEEP = 500_000
+    KEEP = 150_000
 
     def __init__(self, data: bytes, parity: bool = True):
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
@@ -165,7 +169,7 @@ class Codec:
         if self.by_word:
             self.alone.normalizer = None  # words come with their marks
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def normal(self, texts: list[str]) -> list[str]:
         """The texts as the model normalises them, with spaces for the visible marks and without the first one that it adds."""
@@ -173,22 +177,22 @@ class Codec:
             return [x.replace(SPACE, " ") for x in texts]
         return [x.replace(SPACE, " ").removeprefix(self.mark) for x in map(self.reference.normalize, texts)]
 
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def from_words(self, texts: list[str]) -> list[list[int]]:
+    def from_words(self, texts: list[str]) -> list[bytes]:
         """The ids of the texts' words, one after the other."""
         split = []
         for x in texts:
             parts = x.replace(SPACE, " ").split(" ") if x else []
             split.append([w[1:] for w in self.words.findall(SPACE + x.replace(" ", SPACE))] if "" in parts else parts)
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.KEEP:
+        every = set().union(*split)
+        if len(self.known) + len(every) > self.KEEP:
             self.known.clear()
-            new = set().union(*split)
-        todo = list(new)
-        self.known.update(zip(todo, (e.ids for e in self.alone.encode_batch_fast([SPACE + w for w in todo], add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.known.__getitem__, w))) for w in split]
+        todo = list(every.difference(self.known))
+        self.known.update(zip(todo, (_packed(e.ids) for e in self.alone.encode_batch_fast([SPACE + w for w in todo], add_special_tokens=False)), strict=True))
+        return [b"".join(map(self.known.__getitem__, w)) for w in split]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that the pieces stand for, without the space that the model adds."""
@@ -197,13 +201,17 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool | None]]:
         """The ids of each text, whether they decode to the normalised text, whether the reference library gives the same ids."""
-        expected = self.reference.encode(texts, num_threads=THREADS) if self.parity else [None] * len(texts)
+        expected = [_packed(x) for x in self.reference.encode(texts, num_threads=THREADS)] if self.parity else [None] * len(texts)
         ids = self.from_words(texts) if self.by_word and self.parity else self.whole(texts)
         if self.by_word and (odd := [k for k, (x, y) in enumerate(zip(ids, expected, strict=True)) if self.parity and x != y]):
             for k, x in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
                 ids[k] = x
         same = [x == y for x, y in zip(ids, expected, strict=True)] if self.parity else expected
-        return [(np.asarray(i, "<i4"), self.decode(i) == w.encode(), s) for i, w, s in zip(ids, self.normal(texts), same, strict=True)]
+        out = []
+        for i, w, s in zip(ids, self.normal(texts), same, strict=True):
+            a = np.frombuffer(i, "<i4")
+            out.append((a, self.decode(a.tolist()) == w.encode(), s))
+        return out
 
 
 @lru_cache(maxsize=4)
