@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import arrow_map, buffers, cut, id_key, own_columns, steps, table, text_key, without, words_at
+from quarry.llm.shared import arrow_map, buffers, cut, id_key, own_columns, release, steps, table, text_key, without, words_at
 
 #: Words of a seed; a shorter item is one seed of all its words.
 GRAM = 3
@@ -181,6 +181,7 @@ def seed_counts(docs: DataFrame, items: Broadcast) -> DataFrame:
                 total += np.bincount(each, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["seed", "df"])
+        release()
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df"))
 

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import own_columns, table, with_text
+from quarry.llm.shared import own_columns, release, table, with_text
 
 #: The model of the registered query; a parameter of the operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Threads that encode one batch of texts in a Python worker.
 THREADS = 2
 #: Bytes of text in one batch.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 #: The visible mark that stands for a space.
 SPACE = "▁"
 #: Stands before pieces that no text holds; not a character.
@@ -165,9 +165,8 @@ class Codec:
         self.mark = " " if model.dummy_prefix else ""
         self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in model.pieces]
         self.by_word = has_free_words(model)
-        self.alone = build(model)
         if self.by_word:
-            self.alone.normalizer = None  # words come with their marks
+            self.tokenizer.normalizer = None  # words, and texts that are encoded whole, come with their marks
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*")
         self.known: dict[str, bytes] = {}
 
@@ -179,6 +178,8 @@ class Codec:
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
+        if self.by_word:
+            texts = [SPACE + x.replace(" ", SPACE) if x else x for x in texts]
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def from_words(self, texts: list[str]) -> list[bytes]:
@@ -191,7 +192,7 @@ class Codec:
         if len(self.known) + len(every) > self.KEEP:
             self.known.clear()
         todo = list(every.difference(self.known))
-        self.known.update(zip(todo, (_packed(e.ids) for e in self.alone.encode_batch_fast([SPACE + w for w in todo], add_special_tokens=False)), strict=True))
+        self.known.update(zip(todo, (_packed(e.ids) for e in self.tokenizer.encode_batch_fast([SPACE + w for w in todo], add_special_tokens=False)), strict=True))
         return [b"".join(map(self.known.__getitem__, w)) for w in split]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -266,6 +267,7 @@ def encode_with(docs: DataFrame, data: bytes, parity: bool = True, keep_ids: boo
                 part = b.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *out], names=[*kept, *added])
                 at += len(texts)
+        release()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name in kept] + [f"{k} {v}" for k, v in added.items()])
     return d.mapInArrow(work, schema)

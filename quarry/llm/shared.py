@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -147,6 +148,15 @@ def steps(offsets: np.ndarray, size: int = STEP_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def release() -> None:
+    """Gives memory that is free in this worker back to the system; workers wait for the next task, beside others' memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over batches; *work* gets one batch and yields batches."""
 
@@ -154,6 +164,7 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
         for b in batches:
             if b.num_rows:
                 yield from work(b)
+        release()
 
     return df.mapInArrow(run, schema)
 

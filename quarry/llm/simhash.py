@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import components
-from quarry.llm.shared import BROADCAST_ROWS, arrow_map, cut, free_names, id_key, own_columns, row_keys, table, text_key
+from quarry.llm.shared import BROADCAST_ROWS, arrow_map, cut, free_names, id_key, own_columns, release, row_keys, table, text_key
 
 SEED = 42
 SHINGLE = 3
@@ -184,6 +184,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> DataF
         if held:
             k, f, h = (np.concatenate([x[i] for x in held]) for i in range(3))
             yield out(k, f, h)
+        release()
 
     return at.repartition("anchor", "tile").sortWithinPartitions("tile", "anchor").mapInArrow(join, "a long, b long")
 
