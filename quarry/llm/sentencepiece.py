@@ -7,7 +7,6 @@ import importlib
 import os
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -24,7 +23,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Threads that encode one batch of texts in a Python worker.
 THREADS = 2
 #: Bytes of text in one batch.
-BATCH_BYTES = 1 << 18
+BATCH_BYTES = 1 << 19
 #: The visible mark that stands for a space.
 SPACE = "▁"
 #: Stands before pieces that no text holds; not a character.
@@ -135,24 +134,8 @@ def build(model: Model) -> object:
     return t
 
 
-def _packed(ids: list[int]) -> bytes:
-    return array("i", ids).tobytes()
-
-
-def has_free_words(model: Model) -> bool:
-    """Whether no piece has a mark after another character, and the text is taken as it is: a text's ids should be those of its words."""
-    plain = not model.charsmap and not model.strip_extra and model.escape and model.dummy_prefix
-    return plain and not any(kind == USER_DEFINED or (kind == NORMAL and SPACE in p.lstrip(SPACE)) for p, _, kind in model.pieces)
-
-
 class Codec:
-    """Encodes texts with the rebuilt tokenizer, decodes the ids again, and compares both with the reference library, text by text.
-
-    Where words are free, the ids of each distinct word are kept (KEEP of them) and put together, which is only a
-    short cut: the whole text's ids by the reference library must be the same, or the whole text is encoded again.
-    """
-
-    KEEP = 150_000
+    """Encodes whole texts with the rebuilt tokenizer, decodes the ids again, and compares both with the reference library, text by text."""
 
     def __init__(self, data: bytes, parity: bool = True):
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
@@ -164,11 +147,6 @@ class Codec:
         self.plain = not model.charsmap and not model.strip_extra
         self.mark = " " if model.dummy_prefix else ""
         self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in model.pieces]
-        self.by_word = has_free_words(model)
-        if self.by_word:
-            self.tokenizer.normalizer = None  # words, and texts that are encoded whole, come with their marks
-        self.words = re.compile(f"{SPACE}+[^{SPACE}]*")
-        self.known: dict[str, bytes] = {}
 
     def normal(self, texts: list[str]) -> list[str]:
         """The texts as the model normalises them, with spaces for the visible marks and without the first one that it adds."""
@@ -176,25 +154,6 @@ class Codec:
             return [x.replace(SPACE, " ") for x in texts]
         return [x.replace(SPACE, " ").removeprefix(self.mark) for x in map(self.reference.normalize, texts)]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, four bytes each."""
-        if self.by_word:
-            texts = [SPACE + x.replace(" ", SPACE) if x else x for x in texts]
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def from_words(self, texts: list[str]) -> list[bytes]:
-        """The ids of the texts' words, one after the other."""
-        split = []
-        for x in texts:
-            parts = x.replace(SPACE, " ").split(" ") if x else []
-            split.append([w[1:] for w in self.words.findall(SPACE + x.replace(" ", SPACE))] if "" in parts else parts)
-        every = set().union(*split)
-        if len(self.known) + len(every) > self.KEEP:
-            self.known.clear()
-        todo = list(every.difference(self.known))
-        self.known.update(zip(todo, (_packed(e.ids) for e in self.tokenizer.encode_batch_fast([SPACE + w for w in todo], add_special_tokens=False)), strict=True))
-        return [b"".join(map(self.known.__getitem__, w)) for w in split]
-
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that the pieces stand for, without the space that the model adds."""
         out = b"".join([self.raw[k] for k in ids])
@@ -202,17 +161,9 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool | None]]:
         """The ids of each text, whether they decode to the normalised text, whether the reference library gives the same ids."""
-        expected = [_packed(x) for x in self.reference.encode(texts, num_threads=THREADS)] if self.parity else [None] * len(texts)
-        ids = self.from_words(texts) if self.by_word and self.parity else self.whole(texts)
-        if self.by_word and (odd := [k for k, (x, y) in enumerate(zip(ids, expected, strict=True)) if self.parity and x != y]):
-            for k, x in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
-                ids[k] = x
-        same = [x == y for x, y in zip(ids, expected, strict=True)] if self.parity else expected
-        out = []
-        for i, w, s in zip(ids, self.normal(texts), same, strict=True):
-            a = np.frombuffer(i, "<i4")
-            out.append((a, self.decode(a.tolist()) == w.encode(), s))
-        return out
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        same = [x == y for x, y in zip(ids, self.reference.encode(texts, num_threads=THREADS), strict=True)] if self.parity else [None] * len(ids)
+        return [(np.asarray(i, "<i4"), self.decode(i) == w.encode(), s) for i, w, s in zip(ids, self.normal(texts), same, strict=True)]
 
 
 @lru_cache(maxsize=4)
