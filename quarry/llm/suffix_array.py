@@ -305,8 +305,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def slice_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """*wanted* (key, slice, c, n and a place _id, _k, start) with the bytes of each slice, from one of the rows that are equal in id and text."""
-    per_doc = wanted.groupBy("_id", "_k").agg(F.collect_list(F.struct("key", "slice", "c", "start", "n")).alias("s"))
+    """*wanted* (key, slice, c, n, hot and a place _id, _k, start) with the bytes of each slice, from one of the rows that are equal in id and text."""
+    per_doc = wanted.groupBy("_id", "_k").agg(F.collect_list(F.struct("key", "slice", "c", "start", "n", "hot")).alias("s"))
     both = docs.join(per_doc, ["_id", "_k"]).select("_id", "_k", "text", "s")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,9 +329,9 @@ def slice_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for i in range(0, len(row), 50_000):
                 j = min(len(row), i + 50_000)
                 texts = [raw[x:y] for x, y in zip(start[i:j].tolist(), (start + n + LENGTH - 1)[i:j].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*[flat.field(c).slice(i, j - i) for c in ("key", "slice", "c", "n")], pa.array(texts, pa.binary())], names=["key", "slice", "c", "n", "bytes"])
+                yield pa.RecordBatch.from_arrays([*[flat.field(c).slice(i, j - i) for c in ("key", "slice", "c", "n", "hot")], pa.array(texts, pa.binary())], names=["key", "slice", "c", "n", "hot", "bytes"])
 
-    return both.mapInArrow(work, "key long, slice long, c long, n int, bytes binary")
+    return both.mapInArrow(work, "key long, slice long, c long, n int, hot boolean, bytes binary")
 
 
 def _runs(keys: list[int], hashes: list[int], marks: list[np.ndarray]) -> pa.RecordBatch:
@@ -387,17 +387,24 @@ def _cut_again(hot: DataFrame, level: int) -> DataFrame:
     return arrow_map(hot, work, "key2 long, slice2 long, c long, n int, key long, slice long, start int, bytes binary")
 
 
+def _sorted_runs(texts: DataFrame) -> DataFrame:
+    return texts.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, "key long, slice long, from int, count int")
+
+
 def _marked(texts: DataFrame, hot: int, level: int = 1) -> DataFrame:
-    """key, slice, from and count of the repeated strings of slices with bytes; a hot anchor's slices are cut again until none is hot."""
+    """key, slice, from and count of the repeated strings of slices with bytes; the slices of hot anchors are cut again until none is hot."""
     texts = cut_table(texts)
-    busy = cut(texts.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > hot).select("key"))
-    if level > LEVELS or not busy.take(1):
-        return texts.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, "key long, slice long, from int, count int")
-    rest = texts.join(busy, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_shards, "key long, slice long, from int, count int")
-    parts = cut_table(_cut_again(texts.join(busy, "key", "left_semi"), level))
+    parts = cut_table(_cut_again(texts.filter("hot"), level))
     kinds = parts.groupBy(F.col("key2").alias("key"), F.col("slice2").alias("slice")).agg(F.sum("c").alias("c"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
-    deeper = _marked(kinds, hot, level + 1).select(F.col("key").alias("key2"), F.col("slice").alias("slice2"), "from", "count")
-    return rest.unionByName(parts.select("key2", "slice2", "key", "slice", "start").join(deeper, ["key2", "slice2"]).select("key", "slice", (F.col("start") + F.col("from")).alias("from"), "count"))
+    busy = cut(kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > hot).select("key", F.lit(True).alias("hot")))
+    if level < LEVELS and busy.take(1):
+        kinds = kinds.join(busy, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        deeper = _marked(kinds, hot, level + 1)
+    else:
+        deeper = _sorted_runs(kinds)
+    deeper = deeper.select(F.col("key").alias("key2"), F.col("slice").alias("slice2"), "from", "count")
+    found = parts.select("key2", "slice2", "key", "slice", "start").join(deeper, ["key2", "slice2"]).select("key", "slice", (F.col("start") + F.col("from")).alias("from"), "count")
+    return _sorted_runs(texts.filter("not hot")).unionByName(found)
 
 
 def repeated_runs(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -412,11 +419,11 @@ def repeated_runs(docs: DataFrame, hot: int = HOT) -> DataFrame:
     # a shard of one slice needs no sorting: it has each of its strings as often as there are copies
     several = cut(variety.filter("kinds > 1"))
     whole = kinds.join(several, "key", "left_anti").select("key", "slice", F.lit(0).alias("from"), F.col("n").alias("count"))
-    texts = slice_texts(docs, kinds.join(several.select("key"), "key"))
+    texts = slice_texts(docs, kinds.join(several.select("key", (F.col("kinds") > hot).alias("hot")), "key"))
     if several.filter(F.col("kinds") > hot).take(1):
         marked = _marked(texts.dropDuplicates(["key", "slice"]), hot)
     else:
-        marked = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, "key long, slice long, from int, count int")
+        marked = _sorted_runs(texts)
     runs = cut_table(marked.unionByName(whole))
     # rows that are equal in id and text have the same runs: a set, combined before the shuffle, is no larger than one of them
     return hits.join(runs, ["key", "slice"]).groupBy("_id", "_k").agg(F.collect_set(F.struct((F.col("start") + F.col("from")).alias("from"), "count")).alias("runs"))
