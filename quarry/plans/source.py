@@ -34,7 +34,8 @@ _N_SMELLS = " + ".join(f"({c})::INT" for _, c, _ in _SMELLS)
 
 def code_files(spark: SparkSession, d: str) -> DataFrame:
     """The source files of all parts."""
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    # parsing costs far more than a shuffle of the keys, so they are dealt out to all cores
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k")).repartition(2 * spark.sparkContext.defaultParallelism, "k")
     return sources.described(rows.select(F.expr(_PATH).alias("path"), F.expr(_CODE).alias("text")))
 
 
