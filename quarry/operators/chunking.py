@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import facts, frameworks
 from quarry.operators import text as T
+from quarry.session import cut
 
 #: Modules that say nothing about a cluster.
 STANDARD = ["Foundation", "UIKit", "SwiftUI", "Combine", "Swift"]
@@ -50,24 +51,21 @@ def _listed(names: Column, limit: int, ends: str = "...") -> Column:
 
 
 def finding_lines(nodes: DataFrame) -> DataFrame:
-    """(path, tag, line): where code wires delegates, subscribes, uses singletons or calls the network."""
-    tag = lambda df, name: df.select("path", F.lit(name).alias("tag"), "line")
-    network = nodes.filter(F.col("kind").isin("MemberAccessExpr", "FunctionCallExpr") & facts._has(F.coalesce("text", F.lit("")), ["URLSession", "URLRequest", "Alamofire", "dataTask"])).select("path", F.col("pos_line").alias("line"))
-    rows = [tag(frameworks.wirings(nodes), "delegate"), tag(frameworks.subscriptions(nodes), "reactive"), tag(facts.references(nodes).filter("kind = 'globalSingleton'"), "uses-singleton"), tag(facts.endpoints(nodes).select("path", "line").unionByName(network), "network-call")]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.distinct()
+    """(path, tag, line): where code wires delegates, subscribes, uses singletons or calls the network, in one pass."""
+    network = F.col("kind").isin("MemberAccessExpr", "FunctionCallExpr") & facts._has(F.coalesce("text", F.lit("")), ["URLSession", "URLRequest", "Alamofire", "dataTask"])
+    rules = {"delegate": frameworks.is_wiring(), "reactive": frameworks.is_subscription(), "uses-singleton": facts.reference() == "globalSingleton", "network-call": facts.is_endpoint() | network}
+    tags = F.array_compact(F.array(*[F.when(c, tag) for tag, c in rules.items()]))
+    return nodes.select("path", F.explode(tags).alias("tag"), F.col("pos_line").alias("line")).distinct()
 
 
 def tagged(chunks: DataFrame, lines: DataFrame) -> DataFrame:
-    """*chunks* with the tags of the findings within their lines: an equi-join on the file with a range, combined to one row a chunk."""
-    span = chunks.select("id", "file", "line", "end_line").distinct()
-    at = lines.select(F.col("path").alias("_file"), "tag", F.col("line").alias("_at"))
-    hit = span.join(at, (span.file == at["_file"]) & at["_at"].between(span.line, span.end_line)).groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("_tags"))
+    """*chunks* with the tags of the findings within their lines: the findings are gathered by file before the join."""
+    at = lines.groupBy(F.col("path").alias("file")).agg(F.collect_set(F.struct("tag", F.col("line").alias("at"))).alias("_at"))
     order = F.array(*[F.lit(t) for t in ("delegate", "reactive", "uses-singleton", "network-call")])
-    tags = F.filter(order, lambda t: F.array_contains(F.coalesce("_tags", F.array().cast("array<string>")), t))
-    return chunks.join(hit, "id", "left").withColumn("patterns", F.concat("patterns", tags)).drop("_tags")
+    d = chunks.join(at, "file", "left")
+    within = F.transform(F.filter("_at", lambda x: x["at"].between(F.col("line"), F.col("end_line"))), lambda x: x["tag"])
+    tags = F.array_intersect(order, F.coalesce(within, F.array().cast("array<string>")))
+    return d.withColumn("patterns", F.concat("patterns", tags)).select(*chunks.columns)
 
 
 def file_chunks(files: DataFrame, nodes: DataFrame, paths: list[str] | None = None) -> DataFrame:
@@ -134,7 +132,12 @@ def _clusters(members: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
 
 
 def clusters(types: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Chunks for protocols with conforming types in two files or more, and for folders with two files or more."""
+    """Chunks for protocols with conforming types in two files or more, and for folders with two files or more.
+
+    Both tables are read many times, so what is needed of them is written once.
+    """
+    types = cut(types.select("path", "name", "kind", "line", "conformances"))
+    summaries = cut(summaries.select("file", "module_path", "imports", "patterns", "attributes", "layer"))
     conforming = types.filter("kind <> 'protocol'").select(F.explode("conformances").alias("protocol"), "name")
     many = conforming.groupBy("protocol").agg(F.count("*").alias("_c")).filter("_c >= 2").select("protocol")
     where = types.filter("kind <> 'extension'").groupBy("name").agg(F.max_by("path", F.struct("path", "line")).alias("path"))

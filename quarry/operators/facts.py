@@ -31,6 +31,9 @@ LAYER_PATHS = [(["/network/", "/api/", "/service"], "network"), (["/view/", "/co
 MAX_PARAMS, MAX_DEPTH, LONG_FUNCTION, HIGH_COMPLEXITY = 5, 4, 50, 10
 
 TYPE_KINDS = ["ClassDecl", "StructDecl", "EnumDecl", "ProtocolDecl", "ExtensionDecl", "ActorDecl"]
+#: The kinds that the rules of smells and the chunks look at.
+SMELL_KINDS = ["ForceUnwrapExpr", "AsExpr", "TryExpr", "ImplicitlyUnwrappedOptionalType", "CatchClause", "FunctionCallExpr", "FunctionDecl", "IfExpr", "IntegerLiteralExpr"]
+CHUNK_KINDS = ["FunctionDecl", "InitializerDecl", "ClassDecl", "StructDecl", "EnumDecl", "ProtocolDecl", "ActorDecl"]
 
 
 def _has(c: str | Column, parts: list[str]) -> Column:
@@ -41,11 +44,11 @@ def _has(c: str | Column, parts: list[str]) -> Column:
     return out
 
 
-def smells(nodes: DataFrame) -> DataFrame:
-    """(path, line, kind, severity, code, context) of every code smell, in one pass over the nodes."""
+def smell() -> Column:
+    """The smell that a node is, or null."""
     k = F.col("kind")
     number = F.col("literal").try_cast("int")
-    rule = (
+    return (
         F.when(k == "ForceUnwrapExpr", "force_unwrap")
         .when((k == "AsExpr") & F.col("bang"), "force_cast")
         .when((k == "TryExpr") & F.col("bang"), "force_try")
@@ -56,8 +59,12 @@ def smells(nodes: DataFrame) -> DataFrame:
         .when((k == "IfExpr") & (F.col("if_depth") > MAX_DEPTH) & ~F.col("is_else_if"), "deep_nesting")
         .when((k == "IntegerLiteralExpr") & (number > 2) & ~number.isin(10, 100) & ~_has(F.coalesce("base", F.lit("")), ["let ", "static "]), "magic_number")
     )
+
+
+def smells(nodes: DataFrame) -> DataFrame:
+    """(path, line, kind, severity, code, context) of every code smell, in one pass over the nodes."""
     severity = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
-    out = nodes.withColumn("smell", rule).filter("smell is not null")
+    out = nodes.withColumn("smell", smell()).filter("smell is not null")
     return out.select("path", F.col("pos_line").alias("line"), F.col("smell").alias("kind"), severity[F.col("smell")].alias("severity"), F.substring("text", 1, 50).alias("code"), F.col("ctx_func").alias("context"))
 
 
@@ -79,8 +86,16 @@ def debt(lines: DataFrame) -> DataFrame:
 
 def function_metrics(nodes: DataFrame) -> DataFrame:
     """A row for each function outside other functions; is_god marks the long or complex ones."""
-    n_lines = F.col("end_line") - F.col("pos_line") + 1
-    return nodes.filter("kind = 'FunctionDecl' and func_id is null").select("path", "name", F.col("pos_line").alias("line"), n_lines.alias("line_count"), "complexity", F.size("params").alias("n_params"), "is_async", "throws", ((n_lines > LONG_FUNCTION) | (F.col("complexity") > HIGH_COMPLEXITY)).alias("is_god"))
+    return nodes.filter("kind = 'FunctionDecl' and func_id is null").select("path", "name", F.col("pos_line").alias("line"), n_lines().alias("line_count"), "complexity", F.size("params").alias("n_params"), "is_async", "throws", is_god().alias("is_god"))
+
+
+def n_lines() -> Column:
+    return F.col("end_line") - F.col("pos_line") + 1
+
+
+def is_god() -> Column:
+    """Whether a function is long or complex."""
+    return (n_lines() > LONG_FUNCTION) | (F.col("complexity") > HIGH_COMPLEXITY)
 
 
 def imports(nodes: DataFrame) -> DataFrame:
@@ -89,8 +104,12 @@ def imports(nodes: DataFrame) -> DataFrame:
 
 def references(nodes: DataFrame) -> DataFrame:
     """(path, line, symbol, kind, context) of global state that members and calls touch; the first rule that fits."""
-    kind = T.first_match(F.col("text"), REFERENCES)
-    return nodes.filter(F.col("kind").isin("MemberAccessExpr", "FunctionCallExpr")).withColumn("reference", kind).filter("reference is not null").select("path", F.col("pos_line").alias("line"), F.col("text").alias("symbol"), F.col("reference").alias("kind"), F.col("ctx_func").alias("context"))
+    return nodes.withColumn("reference", reference()).filter("reference is not null").select("path", F.col("pos_line").alias("line"), F.col("text").alias("symbol"), F.col("reference").alias("kind"), F.col("ctx_func").alias("context"))
+
+
+def reference() -> Column:
+    """The kind of global state that a member or call touches, or null."""
+    return F.when(F.col("kind").isin("MemberAccessExpr", "FunctionCallExpr"), T.first_match(F.col("text"), REFERENCES))
 
 
 def reference_files(nodes: DataFrame) -> DataFrame:
@@ -122,8 +141,11 @@ def documentation(nodes: DataFrame) -> DataFrame:
 
 def endpoints(nodes: DataFrame) -> DataFrame:
     """String literals that look like endpoints, with the verb that the surrounding node names."""
-    rows = nodes.filter((F.col("kind") == "StringLiteralExpr") & _has("literal", URL_PARTS))
-    return rows.select("path", F.col("pos_line").alias("line"), F.col("literal").alias("endpoint"), T.first_match(F.coalesce("parent_text", F.lit("")), VERBS).alias("verb"), F.col("ctx_func").alias("context"))
+    return nodes.filter(is_endpoint()).select("path", F.col("pos_line").alias("line"), F.col("literal").alias("endpoint"), T.first_match(F.coalesce("parent_text", F.lit("")), VERBS).alias("verb"), F.col("ctx_func").alias("context"))
+
+
+def is_endpoint() -> Column:
+    return (F.col("kind") == "StringLiteralExpr") & _has("literal", URL_PARTS)
 
 
 def delegates(nodes: DataFrame) -> DataFrame:
@@ -207,15 +229,9 @@ def keywords(name: Column) -> Column:
 def chunks(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row for each type, function, method and initialiser, with what it calls and names.
 
-    Calls and type names are gathered by (path, enclosing function), an equi-join; nothing is compared by range.
+    Calls, type names and imports come with the nodes. The folder is joined last, to rows without source.
     """
-    inner = nodes.filter("func_id is not null").groupBy("path", F.col("func_id").alias("node_id")).agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "FunctionCallExpr", F.col("member")))).alias("_calls"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "TypeReference", F.col("name")))).alias("_types"),
-    )
-    found = nodes.filter(F.col("kind").isin("FunctionDecl", "InitializerDecl", "ClassDecl", "StructDecl", "EnumDecl", "ProtocolDecl", "ActorDecl"))
-    mods = imports(nodes).groupBy("path").agg(F.array_sort(F.collect_set("module")).alias("imports"))
-    d = found.join(inner, ["path", "node_id"], "left").join(mods, "path", "left").join(files.select("path", "module_path"), "path")
+    d = nodes.filter(F.col("kind").isin(CHUNK_KINDS))
     none = F.array().cast("array<string>")
     kind = F.when(F.col("kind") == "InitializerDecl", "initializer").when((F.col("kind") == "FunctionDecl") & F.col("ctx_type").isNotNull() & (F.col("ctx_type_kind") != "ExtensionDecl"), "method").when(F.col("kind") == "FunctionDecl", "function").otherwise(F.lower(F.replace("kind", F.lit("Decl"), F.lit(""))))
     takes = F.transform(F.coalesce("params", F.from_json(F.lit("[]"), "array<struct<label:string,name:string,type:string,has_default:boolean>>")), lambda p: p["name"])
@@ -226,14 +242,17 @@ def chunks(files: DataFrame, nodes: DataFrame) -> DataFrame:
     ))
     raw = F.concat_ws("\n", F.array_join("comments", "\n"), "text")  # comments before a declaration count as part of it
     held = lambda names: F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(raw, n))
-    return d.select(
-        F.concat_ws(":", "path", "pos_line").alias("id"), F.col("path").alias("file"), F.col("pos_line").alias("line"), "end_line", "name", kind.alias("kind"), F.when(~F.col("ctx_type_kind").eqNullSafe("ExtensionDecl"), F.col("ctx_type")).alias("parent_type"), "module_path", "signature",
-        takes.alias("parameters"), "return_type", F.nullif(F.array_join("doc", "\n"), F.lit("")).alias("doc_comment"), F.coalesce("_calls", none).alias("calls"), F.coalesce("_types", none).alias("uses_types"),
+    d = d.select(
+        F.concat_ws(":", "path", "pos_line").alias("id"), F.col("path").alias("file"), F.col("pos_line").alias("line"), "end_line", "name", kind.alias("kind"), F.when(~F.col("ctx_type_kind").eqNullSafe("ExtensionDecl"), F.col("ctx_type")).alias("parent_type"), "signature",
+        takes.alias("parameters"), "return_type", F.nullif(F.array_join("doc", "\n"), F.lit("")).alias("doc_comment"), F.coalesce("calls", none).alias("calls"), F.coalesce("types", none).alias("uses_types"),
         F.coalesce("inherits", none).alias("conforms_to"), F.when(F.col("kind") == "InitializerDecl", 1).otherwise(F.when(F.col("kind") == "FunctionDecl", F.col("complexity"))).alias("complexity"), (F.col("end_line") - F.col("pos_line") + 1).alias("line_count"),
         "visibility", raw.contains("static let shared").alias("is_singleton"), F.coalesce(F.col("body").contains("!") & ~F.col("body").contains("!="), F.lit(False)).alias("has_smells"), raw.contains("TODO").alias("has_todo"),
         held(ATTRIBUTES).alias("attributes"), F.array_sort(held(WRAPPERS)).alias("property_wrappers"),
         keywords(F.col("name")).alias("keywords"), layer(F.col("path"), F.col("name")).alias("layer"), F.coalesce("imports", none).alias("imports"), patterns.alias("patterns"),
     )
+    names = d.columns
+    names.insert(names.index("parent_type") + 1, "module_path")
+    return d.join(files.select(F.col("path").alias("file"), "module_path"), "file").select(*names)
 
 
 def called_by(chunks: DataFrame) -> DataFrame:

@@ -75,10 +75,14 @@ def _attr(name: str) -> Column:
     return _kind("Attribute") & _text("text").contains(name)
 
 
+def _fitting(rules: list[Rule]) -> Column:
+    """The issues of the rules that fit a node, as an array."""
+    return F.array_compact(F.array(*[F.when(r.when, F.struct(F.lit(r.issue).alias("issue"), F.lit(r.severity).alias("severity"), (r.detail if r.detail is not None else F.lit(None)).cast("string").alias("detail"))) for r in rules]))
+
+
 def findings(nodes: DataFrame, rules: list[Rule]) -> DataFrame:
     """(path, line, issue, severity, detail, context): a row for each rule that fits a node, in one pass."""
-    each = [F.when(r.when, F.struct(F.lit(r.issue).alias("issue"), F.lit(r.severity).alias("severity"), (r.detail if r.detail is not None else F.lit(None)).cast("string").alias("detail"))) for r in rules]
-    rows = nodes.select("path", F.col("pos_line").alias("line"), F.col("ctx_func").alias("context"), F.explode(F.array_compact(F.array(*each))).alias("f"))
+    rows = nodes.select("path", F.col("pos_line").alias("line"), F.col("ctx_func").alias("context"), F.explode(_fitting(rules)).alias("f"))
     return rows.select("path", "line", "f.issue", "f.severity", "f.detail", "context")
 
 
@@ -113,21 +117,29 @@ def concurrency(nodes: DataFrame) -> dict[str, Column]:
 
 
 def thread_issues(nodes: DataFrame) -> DataFrame:
-    """Blocking the main queue, shared state from asynchronous functions off the main actor, tasks that hold self, old selectors."""
+    """Blocking the main queue, shared state from asynchronous functions off the main actor, tasks that hold self, old selectors.
+
+    What fits a rule, the asynchronous functions and the classes on the main actor are gathered by file, in one pass.
+    """
     main = F.exists(F.coalesce("attrs", F.array().cast("array<string>")), lambda a: a.contains("@MainActor"))
-    classes = nodes.filter("kind = 'ClassDecl'").groupBy("path", F.col("name").alias("ctx_type")).agg(F.bool_or(main).alias("_class_main"))
-    funcs = nodes.filter("kind = 'FunctionDecl'").join(classes, ["path", "ctx_type"], "left")
-    funcs = funcs.select("path", F.col("node_id").alias("func_id"), (F.col("is_async") & ~main & ~F.coalesce("_class_main", F.lit(False))).alias("_free"))
-    d = nodes.join(funcs, ["path", "func_id"], "left")
     text, access = _text("text"), _kind("MemberAccessExpr")
     shared = F.filter(F.array(*[F.lit(s) for s in SHARED]), lambda s: F.contains(text, s))
     callee = _text("callee")
-    return findings(d, [
+    found = _fitting([
         Rule("blocking_main_thread", "critical", access & text.contains("DispatchQueue.main") & text.contains(".sync")),
-        Rule("shared_state_access", "warning", access & F.coalesce("_free", F.lit(False)) & (F.size(shared) > 0), F.array_join(shared, ", ")),
+        Rule("shared_state_access", "warning", access & F.col("func_id").isNotNull() & (F.size(shared) > 0), F.array_join(shared, ", ")),
         Rule("actor_isolation", "warning", _kind("FunctionCallExpr") & ((callee == "Task") | callee.startswith("Task.")) & text.contains("self.") & ~text.contains("[weak self]")),
         Rule("legacy_selector", "info", _calls("performSelector")),
     ])
+    rows = nodes.select(
+        "path", F.when(_kind("ClassDecl") & main, F.col("name")).alias("_main"), F.when(_kind("FunctionDecl") & F.col("is_async") & ~main, F.struct("node_id", "ctx_type")).alias("_async"),
+        F.when(F.size(found) > 0, F.struct(F.col("pos_line").alias("line"), found.alias("found"), F.col("ctx_func").alias("context"), "func_id")).alias("_hit"),
+    ).filter("_main is not null or _async is not null or _hit is not null")
+    d = rows.groupBy("path").agg(F.collect_set("_main").alias("_main"), F.collect_list("_async").alias("_async"), F.collect_list("_hit").alias("_hit"))
+    free = F.filter("_async", lambda f: ~F.coalesce(F.array_contains("_main", f["ctx_type"]), F.lit(False)))
+    d = d.select("path", F.transform(free, lambda f: f["node_id"]).alias("_free"), F.explode("_hit").alias("h"))
+    d = d.select("path", "h.line", F.explode("h.found").alias("f"), "h.context", F.array_contains("_free", F.col("h.func_id")).alias("_is_free"))
+    return d.filter((F.col("f.issue") != "shared_state_access") | F.col("_is_free")).select("path", "line", "f.issue", "f.severity", "f.detail", "context")
 
 
 def thread_advice(counters: DataFrame, issues: DataFrame) -> DataFrame:
@@ -189,14 +201,27 @@ def retain_advice(counters: DataFrame) -> DataFrame:
 
 def subscriptions(nodes: DataFrame) -> DataFrame:
     """(path, line, kind, context, disposed) of subscribe, bind, drive, sink and assign; a chain that goes on after an inner call counts it again."""
-    callee, parent = _text("callee"), _text("parent_text")
+    parent = _text("parent_text")
     disposed = parent.contains(".disposed(by:)") | parent.contains("disposeBag")
     kinds = [("subscribe", disposed), ("bind", disposed), ("drive", disposed), ("sink", F.lit(True)), ("assign", F.lit(True))]
-    each = [F.when(callee.endswith("." + k) | callee.contains(f".{k}("), F.struct(F.lit(k).alias("kind"), d.alias("disposed"))) for k, d in kinds]
+    each = [F.when(_chained(k), F.struct(F.lit(k).alias("kind"), d.alias("disposed"))) for k, d in kinds]
     rows = nodes.filter("kind = 'FunctionCallExpr'").select("path", F.col("pos_line").alias("line"), "node_id", "func_id", F.col("ctx_func").alias("context"), F.explode(F.array_compact(F.array(*each))).alias("s"))
     return rows.select("path", "line", "node_id", "func_id", "s.kind", "context", "s.disposed")
 
 
+def _chained(name: str) -> Column:
+    """Whether a call is of this member, or goes on after one."""
+    callee = _text("callee")
+    return callee.endswith("." + name) | callee.contains(f".{name}(")
+
+
+def is_subscription() -> Column:
+    out = F.lit(False)
+    for k in ("subscribe", "bind", "drive", "sink", "assign"):
+        out = out | _chained(k)
+    return _kind("FunctionCallExpr") & out
+
+
 def reactive_counters(nodes: DataFrame) -> dict[str, Column]:
     v = _kind("VariableDecl")
     return {"dispose_bags": v & _text("text").contains("DisposeBag"), "cancellables": v & _text("text").contains("AnyCancellable")}
@@ -205,15 +230,16 @@ def reactive_counters(nodes: DataFrame) -> dict[str, Column]:
 def reactive_leaks(nodes: DataFrame) -> DataFrame:
     """(path, line, issue): subscriptions without disposal before any bag of their function, closures that hold self in a reactive call."""
     bag = reactive_counters(nodes)["dispose_bags"]
-    rows = nodes.filter(bag | _kind("FunctionCallExpr")).select("path", "func_id", "node_id", bag.alias("_bag"))
-    # a file's nodes are one partition: the parser had them together too
-    w = Window.partitionBy("path", "func_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.select("path", "node_id", F.max("_bag").over(w).alias("_seen"))
-    open_ = subscriptions(nodes).filter("kind = 'subscribe' and not disposed").join(seen, ["path", "node_id"]).filter("not _seen")
     text, parent = _text("text"), _text("parent_text")
+    open_ = _kind("FunctionCallExpr") & _chained("subscribe") & ~(parent.contains(".disposed(by:)") | parent.contains("disposeBag"))
     held = _kind("ClosureExpr") & (text.contains("self.") | text.contains("self,")) & ~text.contains("[weak self]") & ~text.contains("[unowned self]")
-    strong = nodes.filter(held & facts._has(parent, [".subscribe", ".sink", ".bind"])).select("path", F.col("pos_line").alias("line"), F.lit("strong_self_in_closure").alias("issue"))
-    return open_.select("path", "line", F.lit("subscribe_without_disposal").alias("issue")).unionByName(strong)
+    strong = held & facts._has(parent, [".subscribe", ".sink", ".bind"])
+    rows = nodes.filter(bag | open_ | strong).select("path", F.col("pos_line").alias("line"), "func_id", "node_id", bag.alias("_bag"), open_.alias("_open"), strong.alias("_strong"))
+    # only bags, subscriptions and such closures come together by function
+    w = Window.partitionBy("path", "func_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_seen", F.max("_bag").over(w))
+    issue = F.when(F.col("_open") & ~F.col("_seen"), "subscribe_without_disposal").when(F.col("_strong"), "strong_self_in_closure")
+    return rows.select("path", "line", issue.alias("issue")).filter("issue is not null")
 
 
 def reactive_framework(nodes: DataFrame) -> DataFrame:
@@ -383,10 +409,13 @@ def localization_coverage(literals: DataFrame) -> DataFrame:
 # Delegates, network, properties, authentication
 
 
+def is_wiring() -> Column:
+    return (F.col("kind") == "AssignExpr") & (F.col("callee") == "=") & F.lower(_text("base")).rlike("(delegate|datasource)$")
+
+
 def wirings(nodes: DataFrame) -> DataFrame:
     """(path, line, target, value, context) of assignments to delegates and data sources."""
-    rows = nodes.filter((F.col("kind") == "AssignExpr") & (F.col("callee") == "=") & F.lower(_text("base")).rlike("(delegate|datasource)$"))
-    return rows.select("path", F.col("pos_line").alias("line"), F.col("base").alias("target"), F.col("literal").alias("value"), F.col("ctx_func").alias("context"))
+    return nodes.filter(is_wiring()).select("path", F.col("pos_line").alias("line"), F.col("base").alias("target"), F.col("literal").alias("value"), F.col("ctx_func").alias("context"))
 
 
 def delegate_issues(properties: DataFrame, wired: DataFrame) -> DataFrame:
@@ -425,13 +454,12 @@ def property_accesses(nodes: DataFrame, pattern: str, name: str | None = None) -
     *name* keeps properties by name, `p*` by beginning, `*s` by end, whatever their case.
     """
     wanted = pattern[:-1] if pattern.endswith(".*") else pattern
-    accesses = nodes.filter(_kind("MemberAccessExpr") & _text("text").contains(wanted)).select(
-        "path", F.col("pos_line").alias("line"), F.col(MEMBER).alias("property"), F.when(F.col("parent_kind") == "FunctionCallExpr", "call").otherwise("read").alias("access"), F.col("ctx_func").alias("context"), F.substring("text", 1, 100).alias("code")
-    )
-    writes = nodes.filter((F.col("kind") == "AssignExpr") & F.col("callee").isin("=", "+=", "-=") & _text("base").contains(wanted) & _text("base").contains(".")).select(
-        "path", F.col("pos_line").alias("line"), F.trim(T.last_part(F.col("base"), ".")).alias("property"), F.lit("write").alias("access"), F.col("ctx_func").alias("context"), F.substring("text", 1, 100).alias("code")
-    )
-    out = accesses.unionByName(writes)
+    is_access = _kind("MemberAccessExpr") & _text("text").contains(wanted)
+    is_write = (F.col("kind") == "AssignExpr") & F.col("callee").isin("=", "+=", "-=") & _text("base").contains(wanted) & _text("base").contains(".")
+    out = nodes.filter(is_access | is_write).select(
+        "path", F.col("pos_line").alias("line"), F.when(_kind("AssignExpr"), F.trim(T.last_part(F.col("base"), "."))).otherwise(F.col(MEMBER)).alias("property"),
+        F.when(_kind("AssignExpr"), "write").when(F.col("parent_kind") == "FunctionCallExpr", "call").otherwise("read").alias("access"), F.col("ctx_func").alias("context"), F.substring("text", 1, 100).alias("code"),
+    )
     return out.filter(named_like(F.col("property"), name)) if name else out
 
 
@@ -455,10 +483,14 @@ def auth_accesses(nodes: DataFrame) -> DataFrame:
     each.append(F.concat(F.lit("Cognito."), T.first_match(text, [(p, p) for p in SDK])))
     each.append(F.when(((base == "user") | base.endswith(".user")) & member.isin(USER_MEMBERS), F.concat(F.lit("CognitoUser."), member)))
     access = F.when(text.contains("(") & ~text.contains("sharedInstance()"), "call").otherwise("read")
-    read = nodes.filter("kind = 'MemberAccessExpr'").select("path", F.col("pos_line").alias("line"), F.explode(F.array_compact(F.array(*each))).alias("property"), access.alias("access"), F.col("ctx_func").alias("context"), F.substring("text", 1, 100).alias("code"))
+    is_read = F.col("kind") == "MemberAccessExpr"
     set_ = F.get(F.filter(F.array(*[F.lit(n) for n in sorted(ACCOUNT, key=lambda n: (-len(n), n))]), lambda n: F.contains(base, F.concat(F.lit("."), n))), F.lit(0))
-    wrote = nodes.filter((F.col("kind") == "AssignExpr") & (F.col("callee") == "=") & base.contains("Account.sharedInstance()")).select("path", F.col("pos_line").alias("line"), F.concat(F.lit("Account."), set_).alias("property"), F.lit("write").alias("access"), F.col("ctx_func").alias("context"), F.trim("text").alias("code"))
-    return read.unionByName(wrote.filter("property is not null"))
+    is_write = (F.col("kind") == "AssignExpr") & (F.col("callee") == "=") & base.contains("Account.sharedInstance()")
+    property_ = F.when(is_read, F.array(*each)).when(is_write, F.array(F.concat(F.lit("Account."), set_)))
+    return nodes.select(
+        "path", F.col("pos_line").alias("line"), F.explode(F.array_compact(property_)).alias("property"), F.when(is_read, access).otherwise("write").alias("access"), F.col("ctx_func").alias("context"),
+        F.when(is_read, F.substring("text", 1, 100)).otherwise(F.trim("text")).alias("code"),
+    )
 
 
 def migration_priority(accesses: DataFrame) -> DataFrame:

@@ -55,15 +55,14 @@ def protocol_clusters(types: DataFrame) -> DataFrame:
 
 def symbols_used(nodes: DataFrame) -> DataFrame:
     """(name): every name that code mentions: references, types, members and what members are taken of, parents."""
-    named = nodes.filter("kind in ('TypeReference', 'DeclReferenceExpr')").select("name")
-    members = nodes.filter("kind = 'MemberAccessExpr'").select(F.explode(F.array("member", "base")).alias("name"))
-    parents = nodes.filter("inherits is not null").select(F.explode("inherits").alias("name"))
-    return named.union(members).union(parents).filter("name is not null").distinct()
+    own = F.when(F.col("kind").isin("TypeReference", "DeclReferenceExpr"), F.array("name")).when(F.col("kind") == "MemberAccessExpr", F.array("member", "base"))
+    none = F.array().cast("array<string>")
+    return nodes.select(F.explode(F.concat(F.coalesce(own, none), F.coalesce("inherits", none))).alias("name")).filter("name is not null").distinct()
 
 
-def unused_types(types: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Types that nothing names, but for views, cells, controllers and delegates."""
-    return types.filter(~F.col("name").rlike("(ViewController|Cell|View|Delegate)$") & (F.col("kind") != "extension")).join(symbols_used(nodes), "name", "left_anti")
+def unused_types(types: DataFrame, nodes: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """Types that nothing names, but for views, cells, controllers and delegates; *named* are the symbols used, if they are at hand."""
+    return types.filter(~F.col("name").rlike("(ViewController|Cell|View|Delegate)$") & (F.col("kind") != "extension")).join(symbols_used(nodes) if named is None else named, "name", "left_anti")
 
 
 def rescan(old: DataFrame, new: DataFrame) -> DataFrame:

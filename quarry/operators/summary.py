@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import facts, frameworks, refactoring, reports
+from quarry.session import cut
 
 #: Differences of the average complexity up to this are none.
 DEAD_BAND = 0.1
@@ -39,9 +40,9 @@ def debt_report(debt: DataFrame) -> dict[str, DataFrame]:
     return {"markers": debt.orderBy("path", "line"), "by_kind": debt.groupBy("kind").agg(F.count("*").alias("n")), "files": files}
 
 
-def unused_functions(nodes: DataFrame) -> DataFrame:
-    """(path, name, line, visibility) of private functions whose name nothing mentions."""
-    named = reports.symbols_used(nodes)
+def unused_functions(nodes: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """(path, name, line, visibility) of private functions whose name nothing mentions; *named* are the symbols used, if they are at hand."""
+    named = reports.symbols_used(nodes) if named is None else named
     rows = nodes.filter((F.col("kind") == "FunctionDecl") & F.col("visibility").isin("private", "fileprivate")).select("path", "name", F.col("pos_line").alias("line"), "visibility")
     return rows.join(named, "name", "left_anti")
 
@@ -71,27 +72,43 @@ def health(smells: Column, gods: Column, risk: Column, complexity: Column) -> Co
 def file_health(files: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """A row for each file: line_count, n_smells, n_functions, n_god, avg_complexity, max_complexity, retain_risk, n_extractions, score.
 
-    Every part is aggregated by file before the joins.
+    The counts of a file are one aggregation over its nodes.
     """
-    s = facts.smells(nodes).groupBy("path").agg(F.count("*").alias("n_smells"))
-    m = facts.function_metrics(nodes).groupBy("path").agg(F.count("*").alias("n_functions"), F.count_if("is_god").alias("n_god"), F.avg("complexity").alias("avg_complexity"), F.max("complexity").alias("max_complexity"))
-    r = frameworks.counted(nodes, frameworks.retain_counters(nodes)).select("path", frameworks.retain_risk().alias("retain_risk"))
+    function = F.when((F.col("kind") == "FunctionDecl") & F.col("func_id").isNull(), F.col("complexity"))
+    counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in frameworks.retain_counters(nodes).items()]
+    m = nodes.groupBy("path").agg(
+        F.count(facts.smell()).alias("n_smells"), F.count(function).alias("n_functions"), F.count_if(function.isNotNull() & facts.is_god()).alias("n_god"), F.avg(function).alias("avg_complexity"), F.max(function).alias("max_complexity"), *counts
+    ).select("path", "n_smells", "n_functions", "n_god", "avg_complexity", "max_complexity", frameworks.retain_risk().alias("retain_risk"))
     e = refactoring.opportunities(refactoring.extractions(refactoring.long_functions(nodes), lines)).groupBy("path").agg(F.count("*").alias("n_extractions"))
     d = files.select("path", "line_count")
-    for part in (s, m, r, e):
+    for part in (m, e):
         d = d.join(part, "path", "left")
     d = d.na.fill(0, [c for c in d.columns if c != "path"])
     return d.withColumn("score", health(F.col("n_smells"), F.col("n_god"), F.col("retain_risk"), F.col("avg_complexity")))
 
 
 def project_summary(files: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row with the health of a project and what to mend first (issues)."""
-    smells, metrics = facts.smells(nodes), facts.function_metrics(nodes)
-    types = reports.unused_types(facts.type_definitions(nodes), nodes)
-    found = refactoring.opportunities(refactoring.extractions(refactoring.long_functions(nodes), lines))
+    """One row with the health of a project and what to mend first (issues).
+
+    The nodes are read three times: for all counts, for the names that code mentions, and for the declarations, whose bodies are kept where they are long.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    n = facts.n_lines()
+    function = F.when((F.col("kind") == "FunctionDecl") & F.col("func_id").isNull(), F.struct(n.alias("n"), F.col("complexity").alias("c")))
+    counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in frameworks.retain_counters(nodes).items()]
+    averaged = ["n_smells", "n_functions", "n_god", "avg_lines", "avg_complexity", "max_complexity"]
+    counted = nodes.agg(
+        F.count(facts.smell()).alias("n_smells"), F.count(function).alias("n_functions"), F.count_if(function.isNotNull() & facts.is_god()).alias("n_god"),
+        zero(F.avg(function["n"])).alias("avg_lines"), zero(F.avg(function["c"])).alias("avg_complexity"), zero(F.max(function["c"])).alias("max_complexity"), *counts,
+    ).select(*averaged, frameworks.retain_risk().alias("retain_risk"))
+    named = cut(reports.symbols_used(nodes))
+    body = F.when(n > refactoring.LONG, F.col("body")).alias("body")
+    declared = cut(nodes.filter(F.col("kind").isin(*facts.TYPE_KINDS, "FunctionDecl")).select("path", "kind", "name", "pos_line", "end_line", "func_id", "visibility", "inherits", body))
+    types = reports.unused_types(facts.type_definitions(declared), declared, named)
+    found = refactoring.opportunities(refactoring.extractions(refactoring.long_functions(declared), lines))
     parts = [
-        smells.agg(F.count("*").alias("n_smells")), averages(metrics), frameworks.counted(nodes, frameworks.retain_counters(nodes), None).select(frameworks.retain_risk().alias("retain_risk")),
-        found.agg(F.count("*").alias("n_extractions"), F.coalesce(F.sum("reduction"), F.lit(0)).alias("reduction")), types.agg(F.count("*").alias("n_unused_types")), unused_functions(nodes).agg(F.count("*").alias("n_unused_functions")),
+        counted, found.agg(F.count("*").alias("n_extractions"), F.coalesce(F.sum("reduction"), F.lit(0)).alias("reduction")), types.agg(F.count("*").alias("n_unused_types")),
+        unused_functions(declared, named).agg(F.count("*").alias("n_unused_functions")),
     ]
     d = files.agg(F.count("*").alias("n_files"))
     for p in parts:

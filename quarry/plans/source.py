@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking, facts, fixing, frameworks, graph, refactoring, reports, summary
+from quarry.operators.reads import reads
 from quarry.plans.catalog import register
 from quarry.session import table
 from quarry.sources import files as sources
@@ -39,8 +40,13 @@ def code_files(spark: SparkSession, d: str) -> DataFrame:
     return sources.described(rows.select(F.expr(_PATH).alias("path"), F.expr(_CODE).alias("text")))
 
 
-def code_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return sources.nodes(code_files(spark, d))
+def code_nodes(spark: SparkSession, d: str, *operators: str) -> DataFrame:
+    """The nodes of all parts; with *operators* only what these read."""
+    return nodes_of(code_files(spark, d), *operators)
+
+
+def nodes_of(files: DataFrame, *operators: str) -> DataFrame:
+    return sources.nodes(files, **(reads(*operators) if operators else {}))
 
 
 @register("src_smells", " UNION ALL ".join(f"SELECT path, '{kind}' AS kind, '{facts.SEVERITY[kind]}' AS severity, {line} AS line FROM {_P} WHERE {when}" for kind, when, line in _SMELLS))

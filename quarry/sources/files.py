@@ -6,9 +6,11 @@ import json
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quarry.functions.syntax import Source
 from quarry.operators import text as T
@@ -20,9 +22,11 @@ NODES = (
     "path string, node_id int, parent_id int, end_id int, kind string, pos_line int, end_line int, name string, text string, line_text string, in_debug boolean, callee string, base string, "
     "member string, modifiers array<string>, attrs array<string>, inherits array<string>, params array<struct<label:string,name:string,type:string,has_default:boolean>>, return_type string, "
     "is_async boolean, throws boolean, bang boolean, literal string, doc array<string>, comments array<string>, visibility string, parent_kind string, parent_text string, ctx_func string, func_id int, outer_func_id int, "
-    "ctx_type string, ctx_type_kind string, if_depth int, is_else_if boolean, complexity int, signature string, body string"
+    "ctx_type string, ctx_type_kind string, if_depth int, is_else_if boolean, complexity int, signature string, body string, calls array<string>, types array<string>, imports array<string>"
 )
 _NAMES = [c.split()[0] for c in NODES.split(", ")]
+#: A batch of nodes goes on at so many rows, or characters of source.
+ROWS, CHARACTERS = 10000, 1 << 20
 
 
 def source_files(spark: SparkSession, root: str, include_tests: bool = False, excluding: list[str] | None = None, suffix: str = "swift") -> DataFrame:
@@ -89,17 +93,36 @@ def read_lines(files: DataFrame, first: int | None = None, last: int | None = No
     return rows.filter(F.col("line_no").between(max(first or 1, 1), last or 2**31 - 1))
 
 
-def nodes(files: DataFrame, faithful: bool = True) -> DataFrame:
-    """The syntax nodes of every file. A Python worker holds one file's nodes at a time."""
+def nodes(files: DataFrame, faithful: bool = True, kinds: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The syntax nodes of every file; with *kinds* and *columns* only these, for operators that read no others (see reads).
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A Python worker holds a batch of nodes, or one file's. calls and types of a function are what stands in it and in no
+    inner function; imports are those of its file.
+    """
+    names = [c for c in _NAMES if columns is None or c == "path" or c in columns]
+    if columns is not None and (unknown := set(columns) - set(_NAMES)):
+        raise ValueError(f"nodes have no {', '.join(sorted(unknown))}")
+    schema = ", ".join(c for c in NODES.split(", ") if c.split()[0] in names)
+    wanted, asked, form = None if kinds is None else set(kinds), names[1:], to_arrow_schema(StructType.fromDDL(schema))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in names}
+        characters = 0
         for batch in batches:
-            for path, source in zip(batch["path"], batch["text"], strict=True):
-                rows = Source(source or "").nodes(faithful)
-                if rows:
-                    yield pd.DataFrame({c: pd.Series([path if c == "path" else r.get(c) for r in rows], dtype=object) for c in _NAMES})
-
-    return files.select("path", "text").mapInPandas(parse, NODES)
+            for path, text in zip(batch.column("path"), batch.column("text"), strict=True):
+                source = text.as_py() or ""
+                found = Source(source).table(["node_id", *asked], wanted, faithful)
+                n, characters = len(found["node_id"]), characters + len(source)
+                held["path"] += [path.as_py()] * n
+                for c in asked:
+                    held[c] += found[c]
+                if len(held["path"]) >= ROWS or characters >= CHARACTERS:
+                    yield pa.RecordBatch.from_pydict(held, schema=form)
+                    held, characters = {c: [] for c in names}, 0
+        if held["path"]:
+            yield pa.RecordBatch.from_pydict(held, schema=form)
+
+    return files.select("path", "text").mapInArrow(parse, schema)
 
 
 def podfile(files: DataFrame) -> DataFrame:
