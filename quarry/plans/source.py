@@ -132,8 +132,8 @@ def src_file_summaries(spark: SparkSession, d: str) -> DataFrame:
 @register("src_clusters", "SELECT 'cluster:dir:App/' || folder AS id, n AS line_count FROM (SELECT " + _FOLDER.replace("k % 4", "p_partkey % 4") + " AS folder, count(*)::INT AS n FROM part GROUP BY 1 HAVING count(*) >= 2) UNION ALL SELECT 'cluster:protocol:' || x, n FROM (SELECT 'Base' || (p_partkey % 7) AS x, count(*)::INT AS n FROM part GROUP BY 1 HAVING count(*) >= 2 UNION ALL SELECT 'Codable', count(*)::INT FROM part)")
 def src_clusters(spark: SparkSession, d: str) -> DataFrame:
     f = code_files(spark, d)
-    n = sources.nodes(f)
-    return chunking.clusters(facts.type_definitions(n), chunking.file_summaries(chunking.file_chunks(f, n), f)).select("id", "line_count")
+    n = nodes_of(f, "chunks", "finding_lines")
+    return chunking.clusters(facts.type_definitions(nodes_of(f, "type_definitions")), chunking.file_summaries(chunking.file_chunks(f, n), f)).select("id", "line_count")
 
 
 @register("src_type_summaries", f"SELECT 'typeSummary:Service' || k AS id, 1 AS line_count, '1 methods (0 public). Conforms to: Base' || (k % 7) || ', Codable' AS purpose FROM {_P}")
