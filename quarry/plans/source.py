@@ -126,7 +126,7 @@ def src_chunks(spark: SparkSession, d: str) -> DataFrame:
 @register("src_file_summaries", f"SELECT 'summary:' || path AS id, 19 AS line_count, '1 types: Service' || k || ', 1 methods, conforms to Base' || (k % 7) || ', Codable' || CASE WHEN k % 9 = 0 THEN ', reactive' ELSE '' END AS purpose FROM {_P}")
 def src_file_summaries(spark: SparkSession, d: str) -> DataFrame:
     f = code_files(spark, d)
-    return chunking.file_summaries(chunking.file_chunks(f, sources.nodes(f)), f).select("id", "line_count", "purpose")
+    return chunking.file_summaries(chunking.file_chunks(f, nodes_of(f, "chunks", "finding_lines")), f).select("id", "line_count", "purpose")
 
 
 @register("src_clusters", "SELECT 'cluster:dir:App/' || folder AS id, n AS line_count FROM (SELECT " + _FOLDER.replace("k % 4", "p_partkey % 4") + " AS folder, count(*)::INT AS n FROM part GROUP BY 1 HAVING count(*) >= 2) UNION ALL SELECT 'cluster:protocol:' || x, n FROM (SELECT 'Base' || (p_partkey % 7) AS x, count(*)::INT AS n FROM part GROUP BY 1 HAVING count(*) >= 2 UNION ALL SELECT 'Codable', count(*)::INT FROM part)")
