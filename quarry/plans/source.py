@@ -172,7 +172,7 @@ def src_health(spark: SparkSession, d: str) -> DataFrame:
 @register("src_summary", f"SELECT count(*)::BIGINT AS n_files, sum({_N_SMELLS})::BIGINT AS n_smells, count(*)::BIGINT AS n_functions, 0::BIGINT AS n_god, 2.0::DOUBLE AS avg_complexity, least(100, sum((k % 2 = 1)::INT * 10 + 2 * ((k % 9 = 0)::INT + (k % 7 = 0)::INT)))::BIGINT AS retain_risk, count(*)::BIGINT AS n_unused_types FROM {_P}")
 def src_summary(spark: SparkSession, d: str) -> DataFrame:
     f = code_files(spark, d)
-    return summary.project_summary(f, sources.nodes(f), sources.read_lines(f)).select("n_files", "n_smells", "n_functions", "n_god", F.col("avg_complexity").cast("double"), F.col("retain_risk").cast("long"), "n_unused_types")
+    return summary.project_summary(f, nodes_of(f, "project_summary"), sources.read_lines(f)).select("n_files", "n_smells", "n_functions", "n_god", F.col("avg_complexity").cast("double"), F.col("retain_risk").cast("long"), "n_unused_types")
 
 
 @register("src_retain", f"SELECT path, 6 - 1 AS line, 'strong_delegate_property' AS issue, 'high' AS severity FROM {_P} WHERE k % 2 = 1")
