@@ -86,7 +86,7 @@ def src_functions(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_endpoints", f"SELECT path, 14 AS line, '/api/user/' || k AS endpoint, 'GET' AS verb, 'run' || k AS context FROM {_P}")
 def src_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    return facts.endpoints(code_nodes(spark, d))
+    return facts.endpoints(code_nodes(spark, d, "endpoints"))
 
 
 @register("src_delegates", f"SELECT path, 'strong_delegate_reference' AS issue, 'delegate' AS detail FROM {_P} WHERE k % 2 = 1")
