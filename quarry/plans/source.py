@@ -157,7 +157,7 @@ UNION ALL SELECT path, 'implicitly_unwrapped', '    var label: UILabel?', 'mediu
 UNION ALL SELECT path, unnest(['print_statement', 'magic_number']), NULL, NULL FROM {_P}""")
 def src_fixes(spark: SparkSession, d: str) -> DataFrame:
     f = code_files(spark, d)
-    return fixing.suggestions(facts.smells(sources.nodes(f)), f).select("path", "kind", "fixed", "confidence")
+    return fixing.suggestions(facts.smells(nodes_of(f, "smells")), f).select("path", "kind", "fixed", "confidence")
 
 
 _RISK = "least(100, (CASE WHEN k % 2 = 1 THEN 10 ELSE 0 END) + 2 * ((CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END)))"
