@@ -81,7 +81,7 @@ def src_types(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_functions", f"SELECT path, 'run' || k AS name, 7 AS line, 12 AS line_count, 2 AS complexity, 2 AS n_params, false AS is_god FROM {_P}")
 def src_functions(spark: SparkSession, d: str) -> DataFrame:
-    return facts.function_metrics(code_nodes(spark, d)).select("path", "name", "line", "line_count", "complexity", "n_params", "is_god")
+    return facts.function_metrics(code_nodes(spark, d, "function_metrics")).select("path", "name", "line", "line_count", "complexity", "n_params", "is_god")
 
 
 @register("src_endpoints", f"SELECT path, 14 AS line, '/api/user/' || k AS endpoint, 'GET' AS verb, 'run' || k AS context FROM {_P}")
