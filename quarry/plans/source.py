@@ -107,7 +107,7 @@ def src_calls(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_impact", "SELECT count(*)::BIGINT AS n_files, true AS inherited, 'Critical' AS impact, false AS is_safe FROM part WHERE p_partkey % 7 = 3")
 def src_impact(spark: SparkSession, d: str) -> DataFrame:
-    return graph.impact(facts.usages(code_nodes(spark, d), "Base3"))[1]
+    return graph.impact(facts.usages(code_nodes(spark, d, "usages"), "Base3"))[1]
 
 
 @register("src_call_edges", f"""SELECT src, dst FROM (SELECT 'Service' || k || '.run' || k AS src, unnest(list_concat(['make', 'save', 'print', 'get', 'step' || (k % 10)], list_concat(
