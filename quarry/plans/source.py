@@ -177,7 +177,7 @@ def src_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_retain", f"SELECT path, 6 - 1 AS line, 'strong_delegate_property' AS issue, 'high' AS severity FROM {_P} WHERE k % 2 = 1")
 def src_retain(spark: SparkSession, d: str) -> DataFrame:
-    return frameworks.retain_cycles(code_nodes(spark, d)).select("path", "line", "issue", "severity")
+    return frameworks.retain_cycles(code_nodes(spark, d, "retain_cycles")).select("path", "line", "issue", "severity")
 
 
 @register("src_threads", f"SELECT path, 'actor_isolation' AS issue, 'warning' AS severity FROM {_P} WHERE k % 7 = 0")
