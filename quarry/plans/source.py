@@ -97,7 +97,7 @@ def src_delegates(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_singletons", f"SELECT 'Account.sharedInstance()' AS symbol, 3 * count(*)::BIGINT AS n FROM {_P} WHERE k % 3 = 0")
 def src_singletons(spark: SparkSession, d: str) -> DataFrame:
-    return frameworks.singleton_usage(facts.references(code_nodes(spark, d)))
+    return frameworks.singleton_usage(facts.references(code_nodes(spark, d, "references")))
 
 
 @register("src_calls", f"SELECT path, 14 AS line, 'helper.step3' AS callee, 'run' || k AS context FROM {_P} WHERE k % 10 = 3")
