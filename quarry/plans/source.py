@@ -56,7 +56,7 @@ def src_smells(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_smell_counts", "SELECT kind, count(*)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind FROM {_P} WHERE {when}" for kind, when, _ in _SMELLS) + ") GROUP BY kind")
 def src_smell_counts(spark: SparkSession, d: str) -> DataFrame:
-    return facts.smells(code_nodes(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+    return facts.smells(code_nodes(spark, d, "smells")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @register("src_worst_files", f"SELECT path, ({_N_SMELLS})::BIGINT AS n FROM {_P} ORDER BY n DESC, path LIMIT 15")
