@@ -51,7 +51,7 @@ def nodes_of(files: DataFrame, *operators: str) -> DataFrame:
 
 @register("src_smells", " UNION ALL ".join(f"SELECT path, '{kind}' AS kind, '{facts.SEVERITY[kind]}' AS severity, {line} AS line FROM {_P} WHERE {when}" for kind, when, line in _SMELLS))
 def src_smells(spark: SparkSession, d: str) -> DataFrame:
-    return facts.smells(code_nodes(spark, d)).select("path", "kind", "severity", "line")
+    return facts.smells(code_nodes(spark, d, "smells")).select("path", "kind", "severity", "line")
 
 
 @register("src_smell_counts", "SELECT kind, count(*)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind FROM {_P} WHERE {when}" for kind, when, _ in _SMELLS) + ") GROUP BY kind")
