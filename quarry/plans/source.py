@@ -76,7 +76,7 @@ def src_imports(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_types", f"SELECT path, 'Service' || k AS name, 'class' AS kind, 'public' AS visibility, 'Base' || (k % 7) AS superclass FROM {_P}")
 def src_types(spark: SparkSession, d: str) -> DataFrame:
-    return facts.type_definitions(code_nodes(spark, d)).select("path", "name", "kind", "visibility", "superclass")
+    return facts.type_definitions(code_nodes(spark, d, "type_definitions")).select("path", "name", "kind", "visibility", "superclass")
 
 
 @register("src_functions", f"SELECT path, 'run' || k AS name, 7 AS line, 12 AS line_count, 2 AS complexity, 2 AS n_params, false AS is_god FROM {_P}")
