@@ -208,7 +208,7 @@ def src_unused(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_ui_mix", f"SELECT 0::BIGINT AS swiftui_files, count(*)::BIGINT AS uikit_files, 0::BIGINT AS mixed_files, false AS is_swiftui_project FROM {_P} WHERE k % 3 = 0")
 def src_ui_mix(spark: SparkSession, d: str) -> DataFrame:
-    return frameworks.ui_mix(code_nodes(spark, d))
+    return frameworks.ui_mix(code_nodes(spark, d, "ui_mix"))
 
 
 @register("src_file_graph", f"SELECT path, 2::BIGINT AS out_degree, 0::BIGINT AS in_degree, false AS is_hub, false AS is_orphan FROM {_P}")
