@@ -61,7 +61,7 @@ def src_smell_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_worst_files", f"SELECT path, ({_N_SMELLS})::BIGINT AS n FROM {_P} ORDER BY n DESC, path LIMIT 15")
 def src_worst_files(spark: SparkSession, d: str) -> DataFrame:
-    return facts.smells(code_nodes(spark, d)).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(15)
+    return facts.smells(code_nodes(spark, d, "smells")).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(15)
 
 
 @register("src_debt", f"SELECT path, 4 AS line, 'TODO' AS kind, 'mend ' || k AS message FROM {_P} WHERE k % 5 = 0")
