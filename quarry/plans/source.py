@@ -192,7 +192,7 @@ def src_reactive(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_auth", f"SELECT 'Account.email' AS property, count(*)::BIGINT AS n_accesses, count(*)::BIGINT AS n_files, 'MEDIUM: Read from AuthManager.currentProfile or Keychain' AS advice FROM {_P} WHERE k % 3 = 0")
 def src_auth(spark: SparkSession, d: str) -> DataFrame:
-    return frameworks.migration_priority(frameworks.auth_accesses(code_nodes(spark, d)))
+    return frameworks.migration_priority(frameworks.auth_accesses(code_nodes(spark, d, "auth_accesses")))
 
 
 @register("src_properties", f"SELECT 'email' AS property, count(*)::BIGINT AS n_reads, 0::BIGINT AS n_writes, 0::BIGINT AS n_calls, count(*)::BIGINT AS n_files FROM {_P} WHERE k % 3 <> 0")
