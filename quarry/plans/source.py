@@ -114,7 +114,7 @@ def src_impact(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN k % 3 = 0 THEN ['sharedInstance'] ELSE [] END, list_concat(CASE WHEN k % 9 = 0 THEN ['subscribe', 'go'] ELSE ['go'] END, CASE WHEN k % 7 = 0 THEN ['Task'] ELSE ['done'] END)))) AS dst FROM {_P}) GROUP BY ALL""")
 def src_call_edges(spark: SparkSession, d: str) -> DataFrame:
     f = code_files(spark, d)
-    return graph.call_edges(facts.chunks(f, sources.nodes(f)))
+    return graph.call_edges(facts.chunks(f, nodes_of(f, "chunks")))
 
 
 @register("src_chunks", f"SELECT path || ':7' AS id, 'method' AS kind, 'run' || k AS name, 'Service' || k AS parent_type, 'App/' || ({_FOLDER}) AS module_path, CASE k % 4 {' '.join(f'WHEN {i} THEN {chr(39)}{x}{chr(39)}' for i, x in enumerate(LAYERS))} END AS layer, 12 AS line_count FROM {_P} UNION ALL SELECT path || ':2', 'class', 'Service' || k, NULL, 'App/' || ({_FOLDER}), CASE k % 4 {' '.join(f'WHEN {i} THEN {chr(39)}{x}{chr(39)}' for i, x in enumerate(LAYERS))} END, 18 FROM {_P}")
