@@ -91,7 +91,7 @@ def src_endpoints(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_delegates", f"SELECT path, 'strong_delegate_reference' AS issue, 'delegate' AS detail FROM {_P} WHERE k % 2 = 1")
 def src_delegates(spark: SparkSession, d: str) -> DataFrame:
-    n = code_nodes(spark, d)
+    n = code_nodes(spark, d, "delegates", "wirings")
     return frameworks.delegate_issues(facts.delegates(n), frameworks.wirings(n)).select("path", "issue", "detail")
 
 
