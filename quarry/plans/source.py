@@ -214,7 +214,7 @@ def src_ui_mix(spark: SparkSession, d: str) -> DataFrame:
 @register("src_file_graph", f"SELECT path, 2::BIGINT AS out_degree, 0::BIGINT AS in_degree, false AS is_hub, false AS is_orphan FROM {_P}")
 def src_file_graph(spark: SparkSession, d: str) -> DataFrame:
     f = code_files(spark, d)
-    return graph.file_graph(f, facts.imports(sources.nodes(f)))
+    return graph.file_graph(f, facts.imports(nodes_of(f, "imports")))
 
 
 @register("src_detail", f"SELECT path, 3 AS line_count, ['make', 'save'] AS functions, ['Thing'] AS types, 'func extractedFunction()' AS signature FROM {_P}".replace("['make', 'save'] AS functions, ['Thing'] AS types", "'make,save' AS functions, 'Thing' AS types"))
