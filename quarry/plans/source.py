@@ -166,7 +166,7 @@ _RISK = "least(100, (CASE WHEN k % 2 = 1 THEN 10 ELSE 0 END) + 2 * ((CASE WHEN k
 @register("src_health", f"SELECT path, ({_N_SMELLS})::BIGINT AS n_smells, ({_RISK})::BIGINT AS retain_risk, (100 - least(30, 2 * ({_N_SMELLS})) - least(20, {_RISK} // 5))::BIGINT AS score FROM {_P}")
 def src_health(spark: SparkSession, d: str) -> DataFrame:
     f = code_files(spark, d)
-    return summary.file_health(f, sources.nodes(f), sources.read_lines(f)).select("path", F.col("n_smells").cast("long"), F.col("retain_risk").cast("long"), F.col("score").cast("long"))
+    return summary.file_health(f, nodes_of(f, "file_health"), sources.read_lines(f)).select("path", F.col("n_smells").cast("long"), F.col("retain_risk").cast("long"), F.col("score").cast("long"))
 
 
 @register("src_summary", f"SELECT count(*)::BIGINT AS n_files, sum({_N_SMELLS})::BIGINT AS n_smells, count(*)::BIGINT AS n_functions, 0::BIGINT AS n_god, 2.0::DOUBLE AS avg_complexity, least(100, sum((k % 2 = 1)::INT * 10 + 2 * ((k % 9 = 0)::INT + (k % 7 = 0)::INT)))::BIGINT AS retain_risk, count(*)::BIGINT AS n_unused_types FROM {_P}")
