@@ -146,8 +146,8 @@ def src_type_summaries(spark: SparkSession, d: str) -> DataFrame:
 @register("src_hotspots", f"SELECT 'hotspot:' || path AS id, 2 AS complexity, (k % 5 = 0) AS has_todo FROM {_P} WHERE {_N_SMELLS} >= 5")
 def src_hotspots(spark: SparkSession, d: str) -> DataFrame:
     f = code_files(spark, d)
-    n = sources.nodes(f)
-    return chunking.hotspots(chunking.file_chunks(f, n), f, facts.smells(n), facts.function_metrics(n)).select("id", "complexity", "has_todo")
+    n = nodes_of(f, "chunks", "finding_lines")
+    return chunking.hotspots(chunking.file_chunks(f, n), f, facts.smells(nodes_of(f, "smells")), facts.function_metrics(nodes_of(f, "function_metrics"))).select("id", "complexity", "has_todo")
 
 
 @register("src_fixes", f"""SELECT path, 'force_unwrap' AS kind, '        guard let value = make(a) else {{ return }}' AS fixed, 'medium' AS confidence FROM {_P} WHERE k % 4 = 0
