@@ -197,7 +197,7 @@ def src_auth(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_properties", f"SELECT 'email' AS property, count(*)::BIGINT AS n_reads, 0::BIGINT AS n_writes, 0::BIGINT AS n_calls, count(*)::BIGINT AS n_files FROM {_P} WHERE k % 3 <> 0")
 def src_properties(spark: SparkSession, d: str) -> DataFrame:
-    return frameworks.property_summary(frameworks.property_accesses(code_nodes(spark, d), "other.*"))
+    return frameworks.property_summary(frameworks.property_accesses(code_nodes(spark, d, "property_accesses"), "other.*"))
 
 
 @register("src_unused", f"SELECT path, 'Service' || k AS name FROM {_P}")
