@@ -187,7 +187,7 @@ def src_threads(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_reactive", f"SELECT path, unnest(['subscribe_without_disposal', 'strong_self_in_closure']) AS issue FROM {_P} WHERE k % 9 = 0")
 def src_reactive(spark: SparkSession, d: str) -> DataFrame:
-    return frameworks.reactive_leaks(code_nodes(spark, d)).select("path", "issue")
+    return frameworks.reactive_leaks(code_nodes(spark, d, "reactive_leaks")).select("path", "issue")
 
 
 @register("src_auth", f"SELECT 'Account.email' AS property, count(*)::BIGINT AS n_accesses, count(*)::BIGINT AS n_files, 'MEDIUM: Read from AuthManager.currentProfile or Keychain' AS advice FROM {_P} WHERE k % 3 = 0")
