@@ -182,7 +182,7 @@ def src_retain(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_threads", f"SELECT path, 'actor_isolation' AS issue, 'warning' AS severity FROM {_P} WHERE k % 7 = 0")
 def src_threads(spark: SparkSession, d: str) -> DataFrame:
-    return frameworks.thread_issues(code_nodes(spark, d)).select("path", "issue", "severity")
+    return frameworks.thread_issues(code_nodes(spark, d, "thread_issues")).select("path", "issue", "severity")
 
 
 @register("src_reactive", f"SELECT path, unnest(['subscribe_without_disposal', 'strong_self_in_closure']) AS issue FROM {_P} WHERE k % 9 = 0")
