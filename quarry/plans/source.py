@@ -139,8 +139,8 @@ def src_clusters(spark: SparkSession, d: str) -> DataFrame:
 @register("src_type_summaries", f"SELECT 'typeSummary:Service' || k AS id, 1 AS line_count, '1 methods (0 public). Conforms to: Base' || (k % 7) || ', Codable' AS purpose FROM {_P}")
 def src_type_summaries(spark: SparkSession, d: str) -> DataFrame:
     f = code_files(spark, d)
-    n = sources.nodes(f)
-    return chunking.type_summaries(chunking.file_chunks(f, n), facts.type_definitions(n)).select("id", "line_count", "purpose")
+    n = nodes_of(f, "chunks", "finding_lines")
+    return chunking.type_summaries(chunking.file_chunks(f, n), facts.type_definitions(nodes_of(f, "type_definitions"))).select("id", "line_count", "purpose")
 
 
 @register("src_hotspots", f"SELECT 'hotspot:' || path AS id, 2 AS complexity, (k % 5 = 0) AS has_todo FROM {_P} WHERE {_N_SMELLS} >= 5")
