@@ -71,7 +71,7 @@ def src_debt(spark: SparkSession, d: str) -> DataFrame:
 
 @register("src_imports", f"SELECT path, 'Foundation' AS module FROM {_P} UNION ALL SELECT path, CASE WHEN k % 3 = 0 THEN 'UIKit' ELSE 'RxSwift' END FROM {_P}")
 def src_imports(spark: SparkSession, d: str) -> DataFrame:
-    return facts.imports(code_nodes(spark, d))
+    return facts.imports(code_nodes(spark, d, "imports"))
 
 
 @register("src_types", f"SELECT path, 'Service' || k AS name, 'class' AS kind, 'public' AS visibility, 'Base' || (k % 7) AS superclass FROM {_P}")
@@ -120,7 +120,7 @@ def src_call_edges(spark: SparkSession, d: str) -> DataFrame:
 @register("src_chunks", f"SELECT path || ':7' AS id, 'method' AS kind, 'run' || k AS name, 'Service' || k AS parent_type, 'App/' || ({_FOLDER}) AS module_path, CASE k % 4 {' '.join(f'WHEN {i} THEN {chr(39)}{x}{chr(39)}' for i, x in enumerate(LAYERS))} END AS layer, 12 AS line_count FROM {_P} UNION ALL SELECT path || ':2', 'class', 'Service' || k, NULL, 'App/' || ({_FOLDER}), CASE k % 4 {' '.join(f'WHEN {i} THEN {chr(39)}{x}{chr(39)}' for i, x in enumerate(LAYERS))} END, 18 FROM {_P}")
 def src_chunks(spark: SparkSession, d: str) -> DataFrame:
     f = code_files(spark, d)
-    return chunking.file_chunks(f, sources.nodes(f)).select("id", "kind", "name", "parent_type", "module_path", "layer", "line_count")
+    return chunking.file_chunks(f, nodes_of(f, "chunks", "finding_lines")).select("id", "kind", "name", "parent_type", "module_path", "layer", "line_count")
 
 
 @register("src_file_summaries", f"SELECT 'summary:' || path AS id, 19 AS line_count, '1 types: Service' || k || ', 1 methods, conforms to Base' || (k % 7) || ', Codable' || CASE WHEN k % 9 = 0 THEN ', reactive' ELSE '' END AS purpose FROM {_P}")

@@ -111,8 +111,8 @@ def nodes(files: DataFrame, faithful: bool = True, kinds: list[str] | None = Non
         for batch in batches:
             for path, text in zip(batch.column("path"), batch.column("text"), strict=True):
                 source = text.as_py() or ""
-                found = Source(source).table(["node_id", *asked], wanted, faithful)
-                n, characters = len(found["node_id"]), characters + len(source)
+                found = Source(source).table(["kind", *asked], wanted, faithful)
+                n, characters = len(found["kind"]), characters + len(source)
                 held["path"] += [path.as_py()] * n
                 for c in asked:
                     held[c] += found[c]

@@ -74,10 +74,10 @@ def test_unknown_column(code):
 def test_table_is_nodes():
     for text in (SERVICE, EXTRA):
         every = Source(text).nodes()
-        kinds = {"FunctionDecl", "FunctionCallExpr"}
-        kept = [r for r in every if r["kind"] in kinds]
-        for c in COLUMNS:
-            assert Source(text).table([c], kinds) == {c: [r[c] for r in kept]}
+        for kinds in ({"FunctionDecl", "FunctionCallExpr"}, {"ImportDecl", "ClassDecl", "FunctionDecl", "VariableDecl"}):
+            kept = [r for r in every if r["kind"] in kinds]
+            for c in COLUMNS:
+                assert Source(text).table([c], kinds) == {c: [r[c] for r in kept]}
 
 
 def test_calls_of_functions(code):
