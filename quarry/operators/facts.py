@@ -229,9 +229,10 @@ def keywords(name: Column) -> Column:
 def chunks(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row for each type, function, method and initialiser, with what it calls and names.
 
-    Calls, type names and imports come with the nodes. The folder is joined last, to rows without source.
+    Calls, type names and imports come with the nodes and the folder follows from the path, so *files* is not read: Spark
+    takes a parser's output to be as small as the keys below it and would send a side of a join to the driver.
     """
-    d = nodes.filter(F.col("kind").isin(CHUNK_KINDS))
+    d = nodes.filter(F.col("kind").isin(CHUNK_KINDS) & F.col("path").isNotNull())
     none = F.array().cast("array<string>")
     kind = F.when(F.col("kind") == "InitializerDecl", "initializer").when((F.col("kind") == "FunctionDecl") & F.col("ctx_type").isNotNull() & (F.col("ctx_type_kind") != "ExtensionDecl"), "method").when(F.col("kind") == "FunctionDecl", "function").otherwise(F.lower(F.replace("kind", F.lit("Decl"), F.lit(""))))
     takes = F.transform(F.coalesce("params", F.from_json(F.lit("[]"), "array<struct<label:string,name:string,type:string,has_default:boolean>>")), lambda p: p["name"])
@@ -242,17 +243,14 @@ def chunks(files: DataFrame, nodes: DataFrame) -> DataFrame:
     ))
     raw = F.concat_ws("\n", F.array_join("comments", "\n"), "text")  # comments before a declaration count as part of it
     held = lambda names: F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(raw, n))
-    d = d.select(
-        F.concat_ws(":", "path", "pos_line").alias("id"), F.col("path").alias("file"), F.col("pos_line").alias("line"), "end_line", "name", kind.alias("kind"), F.when(~F.col("ctx_type_kind").eqNullSafe("ExtensionDecl"), F.col("ctx_type")).alias("parent_type"), "signature",
+    return d.select(
+        F.concat_ws(":", "path", "pos_line").alias("id"), F.col("path").alias("file"), F.col("pos_line").alias("line"), "end_line", "name", kind.alias("kind"), F.when(~F.col("ctx_type_kind").eqNullSafe("ExtensionDecl"), F.col("ctx_type")).alias("parent_type"), T.module_path(F.col("path")).alias("module_path"), "signature",
         takes.alias("parameters"), "return_type", F.nullif(F.array_join("doc", "\n"), F.lit("")).alias("doc_comment"), F.coalesce("calls", none).alias("calls"), F.coalesce("types", none).alias("uses_types"),
         F.coalesce("inherits", none).alias("conforms_to"), F.when(F.col("kind") == "InitializerDecl", 1).otherwise(F.when(F.col("kind") == "FunctionDecl", F.col("complexity"))).alias("complexity"), (F.col("end_line") - F.col("pos_line") + 1).alias("line_count"),
         "visibility", raw.contains("static let shared").alias("is_singleton"), F.coalesce(F.col("body").contains("!") & ~F.col("body").contains("!="), F.lit(False)).alias("has_smells"), raw.contains("TODO").alias("has_todo"),
         held(ATTRIBUTES).alias("attributes"), F.array_sort(held(WRAPPERS)).alias("property_wrappers"),
         keywords(F.col("name")).alias("keywords"), layer(F.col("path"), F.col("name")).alias("layer"), F.coalesce("imports", none).alias("imports"), patterns.alias("patterns"),
     )
-    names = d.columns
-    names.insert(names.index("parent_type") + 1, "module_path")
-    return d.join(files.select(F.col("path").alias("file"), "module_path"), "file").select(*names)
 
 
 def called_by(chunks: DataFrame) -> DataFrame:

@@ -50,3 +50,10 @@ def camel_words(name: Column, least: int = 3) -> Column:
 
 def last_part(path: Column, separator: str = "/") -> Column:
     return F.substring_index(path, separator, -1)
+
+
+def module_path(path: Column) -> Column:
+    """The last three folders of a path."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    return F.array_join(F.slice(folders, F.greatest(F.size(folders) - 2, F.lit(1)), 3), "/")

@@ -40,10 +40,8 @@ def source_files(spark: SparkSession, root: str, include_tests: bool = False, ex
 
 def described(files: DataFrame) -> DataFrame:
     """Adds the columns that follow from (path, text)."""
-    parts = F.split("path", "/")
-    folders = F.slice(parts, 1, F.size(parts) - 1)
     return files.select(
-        "path", T.last_part(F.col("path")).alias("file_name"), F.array_join(F.slice(folders, F.greatest(F.size(folders) - 2, F.lit(1)), 3), "/").alias("module_path"),
+        "path", T.last_part(F.col("path")).alias("file_name"), T.module_path(F.col("path")).alias("module_path"),
         "text", T.content_hash(F.col("text")).alias("content_hash"), F.size(F.split("text", "\n")).alias("line_count"),
     )
 

@@ -2,12 +2,14 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.syntax import COLUMNS, Source
 from quarry.operators import chunking, facts, frameworks, refactoring, summary
 from quarry.operators.reads import READS, reads
+from quarry.plans import catalog
 from quarry.sources import files
 from tests.test_source import PATHS, SERVICE
 
@@ -110,3 +112,15 @@ def test_tags_of_chunks(code):
     assert next(v for (n, _), v in got.items() if n == "outer") == []
     at = files.nodes(code).filter("path = 'extra'")
     assert c.count() == at.filter(F.col("kind").isin(facts.CHUNK_KINDS)).count() and refactoring.LONG == 50
+
+
+def test_chunks_join_nothing(spark, tmp_path):
+    """Chunks come from the nodes alone: no side of a join goes to the driver, and a file given twice counts twice, as in SQL."""
+    p = str(tmp_path / "part.parquet")
+    spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 4, 3, 3)], "p_partkey long").write.parquet(p)
+    got = catalog.queries()["src_chunks"](spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{p}/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["src_chunks"])
+    assert Counter(map(tuple, got.collect())) == Counter(want.project(", ".join(got.columns)).fetchall())
